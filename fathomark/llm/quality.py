@@ -27,7 +27,8 @@ RULES: tuple[tuple[str, str], ...] = (
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 15 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "100 * n_dup_lines > 60 * n_lines"),
+    ("stutter", "100 * n_stutter > 40 * n_words"),
     ("one_long_line", "n_lines = 1 and n_words > 100000"),
 )
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
@@ -35,9 +36,9 @@ BASE = BIT["few_words"] | BIT["repeated_words"]
 #: A policy is never changed, only followed by another version.
 POLICIES: dict[str, int] = {
     "base-1": BASE,
-    "web-1": BASE | BIT["short_words"] | BIT["long_words"] | BIT["symbols"] | BIT["repeated_lines"],
+    "web-1": BASE | BIT["short_words"] | BIT["long_words"] | BIT["symbols"] | BIT["repeated_lines"] | BIT["stutter"],
 }
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -68,18 +69,23 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) < window, F.lit(0).cast("long")).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), of))
 
 
+def stutter(words: Column) -> Column:
+    """Words equal to the word before."""
+    return F.size(F.filter(words, lambda w, i: (i > 0) & (F.get(words, i - 1) == w))).cast("long")
+
+
 def measurements(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     line_part = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
     word_part = let(
         F.array_remove(F.split(t, SPACE), ""),
-        lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeat_words(w).alias("repeat")),
+        lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeat_words(w).alias("repeat"), stutter(w).alias("stutter")),
     )
     symbols = F.length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("long")
     return let(
         F.struct(word_part.alias("w"), line_part.alias("l"), symbols.alias("s")),
-        lambda m: F.struct(m["w"]["n"].alias("n_words"), m["w"]["chars"].alias("word_chars"), m["s"].alias("n_symbols"), m["l"]["n"].alias("n_lines"), m["l"]["dup"].alias("n_dup_lines"), m["w"]["repeat"].alias("n_repeat_words")),
+        lambda m: F.struct(m["w"]["n"].alias("n_words"), m["w"]["chars"].alias("word_chars"), m["s"].alias("n_symbols"), m["l"]["n"].alias("n_lines"), m["l"]["dup"].alias("n_dup_lines"), m["w"]["repeat"].alias("n_repeat_words"), m["w"]["stutter"].alias("n_stutter")),
     )
 
 
