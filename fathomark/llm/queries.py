@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomark.llm import decontaminate, quality, substrings, tokens
+from fathomark.llm import decontaminate, jaccard, quality, substrings, tokens
 from fathomark.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_token_output, op6_quality_rules, op9_decontaminate)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_token_output, op6_quality_rules, op9_decontaminate, op10_ngram_jaccard)}
 
 ORACLES: dict[str, str] = {}
