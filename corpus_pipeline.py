@@ -1,25 +1,57 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again.
+
+Every stage works on all rows that the one before kept, and all but the last return the columns of
+documents. Near duplicates are judged by sets of five words at a similarity of 0.8.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fathomark.llm import decontaminate, quality
+from fathomark.llm import decontaminate, jaccard, pieces, quality, substrings
 from fathomark.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality policy rejects."""
+    """Documents that the quality policy rejects go."""
     return quality.apply_policy(quality.ledger(docs), "web-1").where("kept").select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays; of rows that are alike in all columns, one."""
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.distinct()
+    found = jaccard.jaccard_components(docs, width=5, percent=80)
+    return found.where("first_of_component").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows that start earlier elsewhere are cut out, with n_chars brought up to date; documents of which nothing is left go."""
+    found = substrings.dedup_substrings(docs, replace=True).where("n_removed = 0 or n_removed < n_words")
+    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark passage."""
+    """Documents that hold a benchmark passage go."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return found.where("not contaminated").select(*docs.columns)
 
 
-STAGES = [("quality rules", quality_rules), ("benchmark decontamination", benchmark_decontamination)]
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its ids, and whether they decode to its text."""
+    import public_tokenizers
+
+    return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("SentencePiece encoding", sentencepiece),
+]
 
 #: The last stage draws merges by a keyed hash, which SQL does not express.
 ORACLE_SQL = None
