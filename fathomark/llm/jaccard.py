@@ -11,7 +11,9 @@ hash, counted over all documents) occurs, rare ones first.
              the first token shared is frequent, so is the second.
 3. stars     The sets found at one index entry with sizes that can link name the smallest of
              them their leader. Entries give pairs (leader, member), never all pairs.
-4. verify    A leader and its members meet at one task, which compares whole sets: a set is
+4. verify    A leader and its members meet at one task, first by the histograms of their sets over
+             a few classes, which bound the overlap of any two from above: a member that can
+             link with none of the others goes. Whole sets are sent for those left: a set is
              compared with all that it isn't connected to yet, until no two unconnected sets
              are left uncompared. Sets that share an entry share its leader, so no link is
              lost. Members of more tokens than a task should hold are split into blocks, and
@@ -45,7 +47,7 @@ from fathomark.llm.wordhash import hash_words, mix, run_hashes, text_bytes
 
 SHINGLE = 3
 PERCENT = 90
-CLASS_BITS = 20
+CLASS_BITS = 22
 CHUNK_BYTES = 8 << 20
 #: A class is frequent from this many times the mean of all classes on, or of FLOOR.
 FREQUENT, FLOOR = 8, 64
@@ -114,6 +116,57 @@ def _pick(tokens: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndar
     return tokens[np.arange(n.sum()) + np.repeat(at[rows] - begin, n)], np.append(begin, n.sum())
 
 
+def histograms(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """How many tokens of each set have each value of the low bits: a few to a bin, in a power of two of bins."""
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        bins = bins_for(b - a)
+        out.append(np.bincount((tokens[a:b] & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype("<u4").astype("<u2" if b - a < 1 << 16 else "<u4").tobytes())
+    return out
+
+
+def bins_for(n: int) -> int:
+    return min(4096, max(16, 1 << max(0, (n - 1) // 4).bit_length()))
+
+
+def can_link(n: np.ndarray, data: list[bytes], percent: int) -> np.ndarray:
+    """Whether each set can link with another one of these, by their histograms."""
+    out = np.zeros(len(n), dtype=bool)
+    order = np.argsort(n, kind="stable")
+    k = n[order]
+    # partners are no smaller than percent of the larger set, so those of a set lie in a run of the order
+    far = np.searchsorted(k, k * 100 // percent, side="right")
+    wide = {}
+
+    def folded(i: int, bins: int) -> np.ndarray:
+        own = wide.setdefault(i, np.frombuffer(data[i], "<u2" if n[i] < 1 << 16 else "<u4").astype(np.int32))
+        return own if len(own) == bins else own.reshape(-1, bins).sum(axis=0)
+
+    for i in range(len(order)):
+        wide.pop(order[i - 1], None) if i else None
+        bins = bins_for(int(k[i]))
+        own = folded(order[i], bins)
+        for start in range(i + 1, int(far[i]), 256):
+            others = order[start : min(start + 256, int(far[i]))]
+            most = np.minimum(np.stack([folded(j, bins) for j in others]), own).sum(axis=1)
+            fit = others[100 * most >= percent * (n[others] + k[i] - most)]
+            out[fit] = True
+            if len(fit):
+                out[order[i]] = True
+                break
+        # a partner later in the order may have gone unmarked; it is looked at from its own side
+        if not out[order[i]]:
+            near = order[np.searchsorted(k, -(-int(k[i]) * percent // 100)) : i]
+            for start in range(0, len(near), 256):
+                others = near[start : start + 256]
+                small = [bins_for(int(n[j])) for j in others]
+                most = np.array([np.minimum(folded(j, b), folded(order[i], b)).sum() for j, b in zip(others, small, strict=True)])
+                if (100 * most >= percent * (n[others] + k[i] - most)).any():
+                    out[order[i]] = True
+                    break
+    return out
+
+
 _SETS = "kind int, key long, a long, b long, n long, part int, data binary"
 
 
@@ -126,7 +179,7 @@ def _survey(text: str, width: int, slices: int):
             once, _ = _pick(tokens, at, _distinct(tokens, at, a, b))
             counts += np.bincount((once >> np.uint64(64 - CLASS_BITS)).astype(np.int64), minlength=1 << CLASS_BITS)
             m = batch.num_rows
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(m, np.int32)), "key": batch.column(KEY), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "n": pa.array(np.diff(at).astype(np.int64)), "part": pa.nulls(m, pa.int32()), "data": pa.nulls(m, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(m, np.int32)), "key": batch.column(KEY), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "n": pa.array(np.diff(at).astype(np.int64)), "part": pa.nulls(m, pa.int32()), "data": pa.array(histograms(tokens, at), pa.binary())})
         if counts.any():
             none = pa.nulls(slices, pa.int64())
             yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(slices, np.int32)), "key": none, "a": none, "b": none, "n": none, "part": pa.array(range(slices), pa.int32()), "data": [squeeze(x, "<u4") for x in np.split(counts, slices)]})
@@ -220,6 +273,27 @@ def _stars(percent: int):
     return stars
 
 
+def _possible(percent: int):
+    """The members of each job that can link with another one of it."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        if not rows:
+            return
+        rows = pa.Table.from_batches(rows)
+        key, job, n = (rows.column(c).to_numpy() for c in ("key", "job", "n"))
+        data = rows.column("data").to_pylist()
+        order = np.argsort(job, kind="stable")
+        cut = np.flatnonzero(np.concatenate(([True], job[order][1:] != job[order][:-1], [True])))
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            own = order[lo:hi]
+            own = own[can_link(n[own], [data[i] for i in own], percent)]
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(job[own]), pa.array(n[own])], names=["key", "job", "n"])
+
+    return possible
+
+
 def _wanted(documents: int):
     """(key, job) pairs, as blobs by the bucket of the key."""
 
@@ -315,11 +389,11 @@ def _verify(percent: int):
     return verify
 
 
-OUT = ("n_shingles", "component_id")
+OUT = ("n_shingles", "component_id", "first_of_component")
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT, tokens_each: int = TOKENS) -> DataFrame:
-    """All rows of docs with n_shingles (long) and component_id (the smallest id reachable by links)."""
+    """All rows of docs with n_shingles (long), component_id (the smallest id reachable by links) and whether the row is the one so named."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (*OUT, KEY)))
@@ -327,14 +401,16 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     own = rows.select(KEY, F.col(f"`{text}`").alias("text"))
     sp = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    slices = 16
+    slices = 64
     surveyed = written(own.mapInArrow(_survey("text", width, slices), _SETS), "sets")
     counts = np.zeros(1 << CLASS_BITS, dtype=np.int64)
     for r in surveyed.where("kind = 0").select("part", "data").repartitionById(slices, "part").mapInArrow(_sum_counts, _BLOB).collect():
-        counts[r.part << (CLASS_BITS - 4) : (r.part + 1) << (CLASS_BITS - 4)] = np.frombuffer(r.data, dtype=np.int64)
+        counts[r.part << (CLASS_BITS - 6) : (r.part + 1) << (CLASS_BITS - 6)] = np.frombuffer(r.data, dtype=np.int64)
     levels, frequent = class_levels(counts)
     sets = surveyed.where("kind = 1").select("key", "a", "b", "n").distinct()
-    classes = sets.where("n > 0").groupBy("a", "b").agg(F.min("key").alias("rep"))
+    full = surveyed.where("kind = 1 and n > 0")
+    classes = full.groupBy("a", "b").agg(F.min("key").alias("rep"))
+    shapes = full.groupBy("a", "b").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("data").alias("data"))
 
     n = max(sp, -(-int(counts.sum()) // (10 * tokens_each)))
     entries = own.mapInArrow(_index("text", width, levels, frequent, percent, n), _BLOB)
@@ -348,8 +424,11 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     jobs = members.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("member"), "g"))
     jobs = jobs.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
     jobs = jobs.select("member", F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")).alias("job"))
-    wanted = jobs.join(classes.select(F.col("a").alias("member"), F.col("rep").alias("key")), "member").select("key", "job").distinct()
+    met = jobs.join(shapes.withColumnRenamed("a", "member"), "member").select("key", "job", "n", "data").distinct()
 
+    m = max(sp, -(-int(total) // tokens_each))
+    wanted = written(met.repartition(m, "job").mapInArrow(_possible(percent), "key long, job long, n long"), "wanted")
+    total = wanted.agg(F.sum("n")).first()[0] or 0
     m = max(sp, -(-int(total) // tokens_each))
     both = wanted.mapInArrow(_wanted(n), _BLOB).unionByName(own.mapInArrow(documents_by_key(n), _BLOB)).repartitionById(n, "part").sortWithinPartitions("kind")
     sent = both.mapInArrow(_send("text", width, m), _BLOB)
@@ -358,8 +437,8 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     named = classes.join(linked, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
     labels = sets.join(named, ["a", "b"], "left").select(F.col("key"), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
-    result = rows.join(labels, F.col(KEY) == F.col("key")) if docs.columns != [doc_id] else labels
-    result = result.drop("key")
+    labels = labels.withColumn("first_of_component", F.col("component_id") == F.col("key"))
+    result = rows.join(labels, F.col(KEY) == F.col("key")).drop("key")
     ids = rows.select(F.col(KEY).alias("_k"), F.col(f"`{doc_id}`").cast("long").alias("_id")).where("_id is null or _id <> _k")
     if not ids.isEmpty():
         ids = rows.select(F.col(KEY).alias("component_id"), F.col(f"`{doc_id}`").alias("_id")).distinct()
