@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomark.llm import decontaminate, html, jaccard, langid, licenses, pieces, quality, substrings, tokens, urls
+from fathomark.llm import decontaminate, html, jaccard, langid, licenses, oracles, pieces, quality, substrings, tokens, urls
 from fathomark.llm.common import table
 
 
@@ -72,4 +72,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_license_scan, op4_token_output, op5_html_extract, op6_quality_rules, op7_url_filter, op8_sentencepiece, op9_decontaminate, op10_ngram_jaccard)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op6_quality_rules": oracles.QUALITY_RULES,
+    "op9_decontaminate": oracles.DECONTAMINATE,
+    "op10_ngram_jaccard": oracles.NGRAM_JACCARD,
+}
