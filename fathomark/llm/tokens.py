@@ -35,17 +35,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomark.llm.common import scratch, small_batches
+from fathomark.llm.packing import sized_batches
+from fathomark.llm.wordhash import hash_runs, text_bytes
 
 MAGIC = b"FMTOKEN1"
 TAIL = struct.Struct("<IIQQ8s")
 BLOCK_IDS = 1 << 16
-#: Units whose ids a worker keeps; the store is emptied beyond it.
-CACHE_UNITS = 300_000
+#: Units whose ids a worker keeps; beyond it the store starts anew.
+CACHE_UNITS = 1_000_000
+CHUNK_BYTES = 4 << 20
 
 #: White space other than the plain space and the line feed; with it, a text is encoded whole.
 _ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
-#: The pre-tokenizer never joins a character to white space after it, so a text falls into these.
-_UNIT = re.compile("[ \n]*[^ \n]+|[ \n]+")
+# The pre-tokenizer never joins a character to white space after it, so other texts fall into units
+# that are encoded independently: spaces and line feeds, and what follows up to the next of them.
 
 
 def bits_for(vocabulary: int) -> int:
@@ -66,7 +69,11 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of a text by the tokenizers library; units seen before come from a bounded store."""
+    """Ids of texts by the tokenizers library.
+
+    The units of a batch are told apart by 64-bit hashes of their bytes, all at once; each different
+    unit is encoded by the library when it is first met, and its ids are kept in a bounded store.
+    """
 
     def __init__(self, path: str, special_as_text: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,20 +82,85 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.vocabulary = self.tokenizer.get_vocab_size()
+        # a byte-level token has a character for each byte
+        self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.vocabulary)])
         self.special = [str(t) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [bool(_ODD.search(t)) or any(s in t for s in self.special) for t in texts]
-        units = [[t] if w else _UNIT.findall(t) for t, w in zip(texts, whole, strict=True)]
-        if len(self.known) > CACHE_UNITS:
-            self.known.clear()
-        new = list({u for us, w in zip(units, whole, strict=True) if not w for u in us} - self.known.keys())
-        self.known.update(zip(new, self._ask(new), strict=True))
-        return [np.frombuffer(self._ask(us)[0] if w else b"".join(map(self.known.__getitem__, us)), dtype="<u4") for us, w in zip(units, whole, strict=True)]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.number: dict[int, int] = {}
+        self.pool, self.used = np.zeros(1 << 20, dtype=np.uint32), 0
+        self.begin, self.length = np.zeros(1 << 18, dtype=np.int64), np.zeros(1 << 18, dtype=np.int64)
+
+    def _ask(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, one after another, and how many of each.
+
+        Units that begin with a blank and don't end with one are encoded as one text: it falls into
+        them again, and the tokens' lengths in bytes tell where each one ends.
+        """
+        joined = [i for i, u in enumerate(units) if u[0] in b" \n" and u[-1] not in b" \n"]
+        counts, parts = np.zeros(len(units), dtype=np.int64), [None] * len(units)
+        for at in range(0, len(joined), 20_000):
+            own = joined[at : at + 20_000]
+            ids = np.array(self._ask([b"".join(units[i] for i in own).decode("utf-8", "surrogatepass")])[0], dtype=np.uint32)
+            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(units[i]) for i in own])) + 1
+            for i, a, b in zip(own, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                parts[i] = ids[a:b]
+        apart = [i for i, p in enumerate(parts) if p is None]
+        for i, ids in zip(apart, self._ask([units[i].decode("utf-8", "surrogatepass") for i in apart]), strict=True):
+            parts[i] = np.array(ids, dtype=np.uint32)
+        counts[:] = [len(p) for p in parts]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32), counts
+
+    def _keep(self, hashes: list[int], units: list[bytes]) -> None:
+        flat, n = self._units(units)
+        first = len(self.number)
+        self.number.update(zip(hashes, range(first, first + len(n)), strict=True))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        while first + len(n) > len(self.begin):
+            self.begin, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.begin[first : first + len(n)] = self.used + np.cumsum(n) - n
+        self.length[first : first + len(n)] = n
+        self.used += len(flat)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null is empty."""
+        values = texts.to_pylist()
+        whole = [i for i, t in enumerate(values) if t and (_ODD.search(t) or any(s in t for s in self.special))]
+        buf, begin = text_bytes(texts)
+        end = np.append(begin[1:], len(buf)) - 1  # where the blank after each text stands
+        blank = (buf == 0x20) | (buf == 0x0A)
+        opens = np.zeros(len(buf), dtype=bool)
+        opens[1:] = blank[1:] & ~blank[:-1]
+        opens[end] = False
+        opens[begin[begin < end]] = True
+        starts = np.flatnonzero(opens)
+        if not len(starts):
+            return [np.zeros(0, dtype=np.uint32) for _ in values]
+        hashes = hash_runs(buf, starts, end)
+        distinct, where, of = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.number) + len(distinct) > CACHE_UNITS:
+            self._empty()
+        keys = distinct.tolist()
+        new = [k for k, h in enumerate(keys) if h not in self.number]
+        stops = np.append(starts[1:], len(buf))
+        stops = np.minimum(stops, end[np.searchsorted(begin, starts, side="right") - 1])
+        data = buf.tobytes()
+        self._keep([keys[k] for k in new], [data[a:b] for a, b in zip(starts[where[new]].tolist(), stops[where[new]].tolist(), strict=True)])
+        unit = np.fromiter(map(self.number.__getitem__, keys), dtype=np.int64, count=len(keys))[of]
+        n = self.length[unit]
+        total = np.concatenate(([0], np.cumsum(n)))
+        ids = self.pool[np.arange(total[-1]) + np.repeat(self.begin[unit] - total[:-1], n)]
+        cut = total[np.searchsorted(starts, np.append(begin, len(buf)))]
+        out = [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for i, own in zip(whole, self._ask([values[i] for i in whole]), strict=True):
+            out[i] = np.array(own, dtype=np.uint32)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -185,15 +257,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, doc
         enc, writer, task = encoder(tokenizer), None, TaskContext.get()
         fs, base = pyarrow.fs.FileSystem.from_uri(path)
         name, own = f"{base}/{task.partitionId():06d}.tokens", f"{base}/.{uuid.uuid4().hex}"
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                ids, texts = batch.column(0)[k : k + 64].to_pylist(), batch.column(1)[k : k + 64].to_pylist()
-                for d, row in zip(ids, enc.encode([t or "" for t in texts]), strict=True):
-                    if writer is None:
-                        fs.create_dir(base, recursive=True)
-                        out = fs.open_output_stream(own)
-                        writer = ShardWriter(out, bits_for(max(enc.vocabulary, end_id + 1)))
-                    writer.add(d, np.append(row, np.uint32(end_id)))
+        for batch in sized_batches(batches, CHUNK_BYTES):
+            for d, row in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
+                if writer is None:
+                    fs.create_dir(base, recursive=True)
+                    out = fs.open_output_stream(own)
+                    writer = ShardWriter(out, bits_for(max(enc.vocabulary, end_id + 1)))
+                writer.add(d, np.append(row, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             out.close()

@@ -66,6 +66,23 @@ def hash_words(buf: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.nda
     return starts, mix(hashes)
 
 
+def hash_runs(buf: np.ndarray, starts: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """Hash of the bytes from each start to the next one, without those at the places of skip."""
+    hashes = np.zeros(len(starts), dtype=np.uint64)
+    ends = np.append(starts[1:], len(buf))
+    k = 0
+    while k < len(starts):
+        end = max(k + 1, int(np.searchsorted(starts, starts[k] + PIECE)))
+        a, b = int(starts[k]), int(ends[end - 1])
+        value = _BYTE[buf[a:b]]
+        value[skip[np.searchsorted(skip, a) : np.searchsorted(skip, b)] - a] = 0
+        gaps = ends[k:end] - starts[k:end]
+        value *= powers(_BASE, int(gaps.max()))[np.arange(b - a) - np.repeat(starts[k:end] - a, gaps)]
+        hashes[k:end] = np.add.reduceat(value, starts[k:end] - a)
+        k = end
+    return mix(hashes)
+
+
 def run_hashes(words: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
     """Hashes of the runs of each length that start at each word; those that start too late are left out."""
     size = lambda n: max(0, len(words) - n + 1)
