@@ -30,7 +30,7 @@ def numbered(view: EntityView, found: DataFrame, order: tuple = ()) -> DataFrame
     rows = found.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
     sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(F.broadcast(sizes.withColumn("_before", before)), "_p").select((F.col("_m") - F.col("_first") + F.col("_before")).alias("pos"), "id")
+    return rows.join(sizes.withColumn("_before", before), "_p").select((F.col("_m") - F.col("_first") + F.col("_before")).alias("pos"), "id")
 
 
 class SearchJobs:

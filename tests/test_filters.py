@@ -86,7 +86,7 @@ TYPES = [(I,), (L,), (DBL,), (UD,), (UI,), (S,), (D.BOOLEAN,), (D.LOCAL_DATE,),
 def test_random_leaves(spark):
     rng = random.Random(11)
     cases, want = [], []
-    for _ in range(600):
+    for _ in range(360):
         op, path, doc, types = rng.choice(list(OPERATORS.values())), rng.choice(PATHS), rng.choice(DOCS), rng.choice(TYPES)
         values = (rng.choice(OPERANDS), rng.choice(OPERANDS)) if op.startswith("between") else None
         operand = None if values else rng.choice(OPERANDS)
