@@ -13,7 +13,7 @@ from fathomark.operators import aggregate, search, unique
 from fathomark.operators.search import OrderKind, OrderSpec
 from fathomark.plans.filters import Source
 from fathomark.sources import context as cx
-from fathomark.sources import tables
+from fathomark.sources import registry, tables, workflow
 from fathomark.sources.entities import EntityView, declared
 from fathomark.sources.store import Entity, ModelRef
 from fathomark.streaming.jobs import numbered
@@ -248,12 +248,37 @@ def test_models(engine):
         tables.validate_change_level("NOPE")
 
 
-def test_registry():
-    assert "parquet" in tables.registered_names() and tables.registered("parquet") is tables.Engine
+def test_registry(spark, tmp_path):
+    assert registry.plugin_names() == ["parquet"]
     with pytest.raises(ValueError):
-        tables.register("parquet", tables.Engine)
+        registry.register(registry.plugin("parquet"))
     with pytest.raises(errors.NotFoundError):
-        tables.registered("none")
+        registry.plugin("none")
+    with pytest.raises(ValueError):
+        registry.plugin("parquet").open({}, spark)
+    line = registry.LocalBroadcaster()
+    got = []
+    line.subscribe("t", lambda _: 1 / 0)
+    line.subscribe("t", got.append)
+    engine = registry.plugin("parquet").open({"path": "file://" + str(tmp_path)}, spark, broadcaster=line)
+    engine.broadcaster.broadcast("t", b"x")
+    assert got == [b"x"] and isinstance(engine, tables.Engine)
+    engine.close()
+
+
+def test_workflows():
+    wire = {
+        "version": "1", "name": "w", "initialState": "s", "active": True, "annotations": {"any": [1]},
+        "states": {"s": {"transitions": [{"name": "t", "next": "e", "manual": False, "processors": [{"type": "x", "name": "p", "config": {"asyncResult": False}}], "schedule": {"delayMs": 0, "function": {"name": "f", "resultKind": "Schedule", "calculationNodesTags": "", "attachEntity": True}}}]}, "e": {}},
+    }
+    w = workflow.WorkflowDefinition.from_wire(wire)
+    assert w.to_wire() == wire and w.states["s"].transitions[0].processors[0].config.start_new_tx_on_dispatch is None
+    w.states["s"].transitions[0].schedule.validate()
+    with pytest.raises(ValueError):
+        workflow.TransitionSchedule(5, function=workflow.ScheduleFunction("f")).validate()
+    assert len(workflow.EventType) == 17
+    e = workflow.StateMachineEvent(workflow.EventType.CANCELLED, "e", "u", details="d", timestamp=datetime(2024, 1, 1))
+    assert workflow.StateMachineEvent.from_wire(e.to_wire()) == e and "state" not in e.to_wire()
 
 
 def test_scheduled_tasks(engine):
