@@ -63,9 +63,14 @@ class Slot:
         mantissa = F.regexp_replace(F.regexp_extract(self.number_text, r"^-?([0-9.]+)", 1), r"\.", "")
         return F.greatest(F.length(F.regexp_replace(F.ltrim(mantissa, F.lit("0")), "0+$", "")), F.lit(1))
 
+    def fits_double(self) -> Column:
+        """Whether a number has at most 15 significant digits: those with two decimals are told without their text."""
+        x = self.approximate
+        return ((F.abs(x) < 1e13) & (F.rint(x * 100) / 100 == x)) | (self.significant_digits() <= 15)
+
     def widens_to(self, t: D) -> Column:
         """Whether the stored number's own type widens to t."""
-        whole = F.when(self.whole, self.number_text.try_cast("double"))
+        whole = F.when(self.whole, self.approximate)
         exact = F.when(self.whole, self.decimal(0))
         part = self.number & ~self.whole
         match t:
@@ -78,9 +83,9 @@ class Slot:
             case D.UNBOUND_INTEGER:
                 return self.whole
             case D.DOUBLE:
-                return self.widens_to(D.INTEGER) | (part & (self.significant_digits() <= 15))
+                return F.when(self.whole, self.approximate.between(-(2.0**31), 2.0**31 - 1)).otherwise(part & self.fits_double())
             case D.BIG_DECIMAL:
-                return self.widens_to(D.LONG) | (part & (self.significant_digits() > 15) & self.decimal().isNotNull())
+                return F.when(self.whole, self.widens_to(D.LONG)).otherwise(part & ~self.fits_double() & self.decimal().isNotNull())
         return self.number
 
 

@@ -128,7 +128,7 @@ def _compare(e: Expansion, slot: Slot) -> Column:
     tests = []
     for n in e.numeric:
         gate = slot.widens_to(n.type)
-        tests.append(gate if n.value is None else gate & _number_test(slot, n.value, n.op))
+        tests.append(gate if n.value is None else _number_test(slot, n.value, n.op) & gate)  # the cheaper test goes first
     for t, at, op in e.temporal:
         tests.append(COMPARE[op](temporal_millis(slot.text, t), F.lit(at)))
     for t, v in e.others:
@@ -150,7 +150,7 @@ def _range(e: Expansion, slot: Slot) -> Column:
     if e.numeric_range:
         a, b, types = e.numeric_range
         gate = any_of([slot.widens_to(t) for t in types])
-        tests.append(gate & _number_test(slot, a, low) & _number_test(slot, b, high))
+        tests.append(_number_test(slot, a, low) & _number_test(slot, b, high) & gate)
     for t, a, b in e.temporal_ranges:
         at = temporal_millis(slot.text, t)
         tests.append(COMPARE[low](at, F.lit(a)) & COMPARE[high](at, F.lit(b)))
