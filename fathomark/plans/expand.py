@@ -9,7 +9,7 @@ from fathomark.functions import temporal as tm
 from fathomark.functions.datatypes import FRACTIONAL, TEMPORAL, WHOLE, is_numeric
 from fathomark.functions.datatypes import DataType as D
 from fathomark.functions.decimals import DOUBLE_DIGITS, DOUBLE_SCALE, INT32, INT64, INT128, Dec, in_big_decimal, in_double
-from fathomark.plans.filters import COMPARISONS, RANGES, UNARY
+from fathomark.plans.filters import COMPARISONS, OPERATORS, RANGES, UNARY
 
 # The largest magnitudes of the bounded numeric types.
 LIMITS: dict[D, tuple[Dec, Dec]] = {
@@ -144,6 +144,8 @@ def valid_pattern(pattern: str) -> str | None:
 
 def expand_leaf(op: str, operand: str, values: list[str] | None, declared: list[D]) -> Expansion:
     """Raises ValueError where the operand fits none of the declared types."""
+    if op not in OPERATORS.values():
+        raise ValueError(f"{op!r} is no leaf")
     if op in UNARY:
         return Expansion("unary", op)
     numeric, temporal = [t for t in declared if is_numeric(t)], [t for t in declared if t in TEMPORAL]
