@@ -242,8 +242,29 @@ def _index(text: str, width: int, levels: np.ndarray, frequent: int, percent: in
     return index
 
 
-def _stars(percent: int):
-    """Leader and member (with its size) for the entries of each key, band of sizes by band: a band and the next hold all sizes that can link."""
+def _distinct_pairs(leader: np.ndarray, member: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((member, leader))
+    leader, member, n = leader[order], member[order], n[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (leader[1:] != leader[:-1]) | (member[1:] != member[:-1])
+    return leader[new], member[new], n[new]
+
+
+def _pairs_blob(part: int, leader: np.ndarray, member: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return _blob_batch([(part, 0, join_parts([leader.tobytes(), member.tobytes(), squeeze(n, "<u4")]))])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each pair once, as a row; the entries that give it are in many partitions."""
+    parts = [split_parts(d) for batch in batches for d in batch.column("data").to_pylist()]
+    if parts:
+        columns = _distinct_pairs(np.concatenate([np.frombuffer(p[0], np.int64) for p in parts]), np.concatenate([np.frombuffer(p[1], np.int64) for p in parts]), np.concatenate([unsqueeze(p[2], "<u4") for p in parts]).astype(np.int64))
+        for k in range(0, len(columns[0]), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in columns], names=["leader", "member", "n"])
+
+
+def _stars(percent: int, partitions: int):
+    """Leader and member (with its size) for the entries of each key, band of sizes by band: a band and the next hold all sizes that can link. Blobs go by the pair, so that a large group spreads."""
     width = np.log(100 / percent) * (1 + 1e-9)
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,10 +286,8 @@ def _stars(percent: int):
         begins = np.concatenate(([True], group[1:] != group[:-1])) if len(group) else np.zeros(0, bool)
         leader = node[np.maximum.accumulate(np.where(begins, np.arange(len(group)), 0))] if len(group) else node
         led = leader != node
-        pairs = np.unique(np.stack((leader[led], node[led], n[led].astype(np.uint64))), axis=1) if led.any() else np.zeros((3, 0), np.uint64)
-        for k in range(0, pairs.shape[1], 50_000):
-            part = pairs[:, k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in part], names=["leader", "member", "n"])
+        for p, own in parts_by(bucket(mix(leader[led]) ^ node[led], partitions), partitions):
+            yield _pairs_blob(p, *_distinct_pairs(leader[led][own], node[led][own], n[led][own]))
 
     return stars
 
@@ -414,7 +433,8 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     n = max(sp, -(-int(counts.sum()) // (10 * tokens_each)))
     entries = own.mapInArrow(_index("text", width, levels, frequent, percent, n), _BLOB)
-    pairs = written(entries.repartitionById(n, "part").mapInArrow(_stars(percent), "leader long, member long, n long").distinct(), "pairs")
+    stars = entries.repartitionById(n, "part").mapInArrow(_stars(percent, n), _BLOB)
+    pairs = written(stars.repartitionById(n, "part").mapInArrow(_pairs, "leader long, member long, n long"), "pairs")
 
     # a leader's members in blocks, if they are many; each pair of blocks is a job
     sizes = pairs.groupBy("leader").agg((F.sum("n") + F.max("n")).alias("total"))
