@@ -48,7 +48,7 @@ from fathomark.llm.wordhash import hash_words, mix, run_hashes, text_bytes
 SHINGLE = 3
 PERCENT = 90
 CLASS_BITS = 22
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: A class is frequent from this many times the mean of all classes on, or of FLOOR.
 FREQUENT, FLOOR = 8, 64
 #: Tokens of sets that meet at one task.
@@ -172,12 +172,13 @@ _SETS = "kind int, key long, a long, b long, n long, part int, data binary"
 
 def _survey(text: str, width: int, slices: int):
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CLASS_BITS, dtype=np.int64)
+        counts = np.zeros(1 << CLASS_BITS, dtype=np.uint32)
         for batch in sized_batches(batches, CHUNK_BYTES):
             tokens, at = shingle_sets(batch, text, width)
             a, b = fingerprints(tokens, at)
             once, _ = _pick(tokens, at, _distinct(tokens, at, a, b))
-            counts += np.bincount((once >> np.uint64(64 - CLASS_BITS)).astype(np.int64), minlength=1 << CLASS_BITS)
+            classes, n = np.unique((once >> np.uint64(64 - CLASS_BITS)).astype(np.uint32), return_counts=True)
+            counts[classes] += n.astype(np.uint32)
             m = batch.num_rows
             yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(m, np.int32)), "key": batch.column(KEY), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "n": pa.array(np.diff(at).astype(np.int64)), "part": pa.nulls(m, pa.int32()), "data": pa.array(histograms(tokens, at), pa.binary())})
         if counts.any():

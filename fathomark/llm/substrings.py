@@ -15,7 +15,7 @@ those words. The suffix tree of all documents is cut into subtrees that fit in m
 4. remove  Repeats go back to their documents, which are read once more, by document key.
 
 Paths are compared as 56-bit hashes within a partition (``label_bytes``), so that two different
-paths in a partition of 2.5 million count as one with a chance of about 2**-14 for the whole
+paths in a partition of 1.5 million count as one with a chance of about 2**-16 for the whole
 partition. Suffixes and documents travel as compressed blobs, not as rows.
 
 Edge cases: a null text has no words; fewer words than the window give no window; rows alike in
@@ -45,8 +45,8 @@ from fathomark.llm.wordhash import hash_words, mix, run_hashes, text_bytes
 
 WINDOW = 20
 #: Text bytes in a chunk, and suffixes that a partition's subtrees hold.
-CHUNK_BYTES = 8 << 20
-SUFFIXES = 2_500_000
+CHUNK_BYTES = 4 << 20
+SUFFIXES = 1_500_000
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 SPANS = T.StructField("repeats", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
 _BLOB = "part int, kind int, data binary"
