@@ -2,8 +2,8 @@
 
 A text becomes words (A-Z lowered, runs of letters, digits and whatever is not ASCII) joined by one
 space. Signature rules are regular expressions over that line, each with keywords, a priority, a
-label and a confidence. A text without any anchor word is not looked at further. Of the others, the
-rules of which the line contains a keyword are run, and every match is an interval of words. An interval
+label and a confidence. The rules of which the line contains a keyword and the fixed words of their form
+are run; both stand in whatever a rule matches, so that no match is lost. Every match is an interval of words. An interval
 that lies within another that is longer, or alike and of higher priority, is suppressed; the labels
 of those left are the text's, along with those of the phrases asked for, which are always kept.
 
@@ -35,12 +35,13 @@ class Rule:
     pattern: str
     priority: int
     confidence: float
+    fixed: str = ""
 
 
 # Label, SPDX identifier's words, name, keywords. Names are patterns over words.
 FAMILIES: tuple[tuple[str, str, str, str], ...] = (
-    ("mit", "mit", "(?:expat|mit(?: x11)?)", "mit"),
-    ("mit-0", "mit 0", "mit no attribution", "attribution"),
+    ("mit", "mit", "(?:expat|mit(?: x11)?)", "mit|expat"),
+    ("mit-0", "mit 0", "mit no attribution", "no attribution|mit 0"),
     ("apache-1.1", "apache 1 1", "apache(?: software)? (?:license )?(?:version |v )?1 1", "apache"),
     ("apache-2", "apache 2 0", "apache(?: software)? (?:license )?(?:version |v )?2(?: 0)?", "apache"),
     ("bsd-2-clause", "bsd 2 clause", "(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)", "bsd"),
@@ -89,27 +90,25 @@ FAMILIES: tuple[tuple[str, str, str, str], ...] = (
     ("public-domain", "public domain", "(?:in|into|to) the public domain", "public domain"),
     ("all-rights-reserved", "proprietary", "all rights reserved", "rights reserved|proprietary"),
 )
-#: How a license is stated, with {id} and {name}; then priority (the lower goes first) and confidence.
-FORMS: tuple[tuple[str, int, float], ...] = (
-    ("spdx license identifier {id}", 1, 1.0),
-    ("(?:licensed|licenced|released|distributed|published|provided|available|covered) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{name}(?: licen[cs]e)?", 2, 0.95),
-    ("(?:license|licence|licenses) {id}(?: license)?", 3, 0.9),
-    ("under (?:the )?(?:terms of (?:the )?)?{name} licen[cs]e", 3, 0.9),
-    ("{name} licen[cs]e(?: agreement)?", 4, 0.8),
-    ("(?:opensource|spdx|creativecommons|gnu|apache|mozilla|eclipse) org licen[cs]es? {id}", 2, 0.95),
+#: How a license is stated, with {id} and {name}; then priority (the lower goes first), confidence and words in all that match.
+FORMS: tuple[tuple[str, int, float, str], ...] = (
+    ("spdx license identifier {id}", 1, 1.0, " spdx license identifier "),
+    ("(?:licensed|licenced|released|distributed|published|provided|available|covered) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{name}(?: licen[cs]e)?", 2, 0.95, " under "),
+    ("(?:license|licence|licenses) {id}(?: license)?", 3, 0.9, " licen"),
+    ("under (?:the )?(?:terms of (?:the )?)?{name} licen[cs]e", 3, 0.9, " under "),
+    ("{name} licen[cs]e(?: agreement)?", 4, 0.8, " licen"),
+    ("(?:opensource|spdx|creativecommons|gnu|apache|mozilla|eclipse) org licen[cs]es? {id}", 2, 0.95, " org licen"),
 )
 #: Names that say it all by themselves; the others need a form around them.
 ALONE = frozenset(("apache-2", "gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3", "mpl-2", "epl-2", "cc0", "cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "bsd-2-clause", "bsd-3-clause", "boost-1", "ofl-1.1", "public-domain", "all-rights-reserved"))
-#: A text without any of these, as it stands in the line of words, has no license statement.
-ANCHORS = (" license", " licence", " spdx ", " unlicense", " licensed ", " cc0", " cc by ", " gpl", " lgpl", " agpl", " public domain ", " rights reserved ", " creative commons ", " clause bsd ", " bsd 2 ", " bsd 3 ", " mpl 2", " wtfpl ")
 
 
 def signature_rules() -> tuple[Rule, ...]:
     out = []
     for label, spdx, name, keywords in FAMILIES:
         gate = tuple(keywords.split("|"))
-        for form, priority, confidence in FORMS:
-            out.append(Rule(label, gate, form.format(id=spdx, name=name), priority, confidence))
+        for form, priority, confidence, fixed in FORMS:
+            out.append(Rule(label, gate, form.format(id=spdx, name=name), priority, confidence, fixed))
         if label in ALONE:
             out.append(Rule(label, gate, name, 5, 0.6))
     return tuple(out)
@@ -150,8 +149,10 @@ def _places(line: Column, pattern: Column) -> Column:
 
 
 def _hits(line: Column, rules: tuple[Rule, ...]) -> Column:
-    table = F.from_json(F.lit(json.dumps([asdict(r) for r in rules])), "array<struct<label:string,keywords:array<string>,pattern:string,priority:int,confidence:double>>")
-    gated = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: line.contains(k)))
+    table = F.from_json(F.lit(json.dumps([asdict(r) for r in rules])), "array<struct<label:string,keywords:array<string>,pattern:string,priority:int,confidence:double,fixed:string>>")
+    words = sorted({w for r in rules for w in r.keywords})
+    there = F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda k: line.contains(k))
+    gated = let(there, lambda own: F.when(F.size(own) > 0, F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.array_contains(own, k)) & line.contains(r["fixed"]))).otherwise(F.filter(table, lambda r: F.lit(False))))
     each = F.transform(gated, lambda r: F.transform(_places(line, r["pattern"]), lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence"))))
     return F.flatten(each)
 
@@ -180,12 +181,8 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str], rules: tuple[Rule, .
     line = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias("line")))
 
     def scanned(x: Column) -> Column:
-        none = F.array().cast(_HIT)
-        anchored = F.lit(False)
-        for a in (*ANCHORS, *(f" {p} " for p in phrases)):
-            anchored = anchored | x["line"].contains(a)
-        base = F.when(anchored, _hits(x["line"], phrase_rules(phrases))).otherwise(none)
-        found = F.when(anchored, let(_hits(x["line"], (*phrase_rules(phrases), *rules)), unsuppressed)).otherwise(none)
+        base = _hits(x["line"], phrase_rules(phrases))
+        found = let(_hits(x["line"], (*phrase_rules(phrases), *rules)), unsuppressed)
         return F.struct(x["n"].alias("n"), base.alias("base"), found.alias("found"))
 
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), let(line, scanned).alias("_w"))

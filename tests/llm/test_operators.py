@@ -1,6 +1,7 @@
 """Each operator against its brute-force version, and on the cases that break things."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,42 @@ def test_license_rules(spark):
     assert got == {1: ("gpl-2",), 2: ("gpl-3",), 3: ("cc-by-nc",), 4: ("all-rights-reserved",), 5: ("",), 6: ("bsd-3-clause,zlib",), 7: ("mit",), 8: ("apache-2",), 9: ("",)}
 
 
+def _example(tree, rng):
+    """A text that the parsed pattern matches."""
+    out = []
+    for kind, arg in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            out.append(chr(arg))
+        elif name == "IN":
+            low, high = [(x, x) if str(k) == "LITERAL" else x for k, x in arg][0]
+            out.append(chr(rng.randint(low, high)))
+        elif name == "BRANCH":
+            out.append(_example(rng.choice(arg[1]), rng))
+        elif name == "SUBPATTERN":
+            out.append(_example(arg[-1], rng))
+        else:
+            assert name == "MAX_REPEAT"
+            out += [_example(arg[2], rng) for _ in range(rng.randint(arg[0], arg[1]))]
+    return "".join(out)
+
+
+def test_license_gates_lose_nothing():
+    rng = random.Random(3)
+    for rule in licenses.signature_rules():
+        tree = re._parser.parse(rule.pattern)
+        for _ in range(40):
+            line = f" {_example(tree, rng)} "
+            assert re.search(f"(?<= )(?:{rule.pattern})(?= )", line), (rule, line)
+            assert any(k in line for k in rule.keywords) and rule.fixed in line, (rule, line)
+
+
+def test_license_without_anchor(spark):
+    texts = {"released under MIT": "mit", "distributed under the Apache 2.0": "apache-2", "available under the terms of the ISC": "isc", "Apache 2.0": "apache-2", "MPL v2.0": "mpl-2", "EPL 2.0": "epl-2", "FreeBSD": "bsd-2-clause", "the Expat license": "mit", "SPDX-License-Identifier: MIT-0": "mit-0", "the permit, under a limit": ""}
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert [x for _, (x,) in sorted(by_id(licenses.scan_licenses(df, {}), "labels").items())] == list(texts.values())
+
+
 # urls
 
 
