@@ -145,7 +145,8 @@ def _emit(text: str, window: int, table: np.ndarray, label_bytes: int):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, CHUNK_BYTES):
-            batch = batch.take(pa.array(np.argsort(batch.column(KEY).to_numpy(), kind="stable")))
+            # rows that share a key are one document: each place is sent once, in ascending order
+            batch = batch.take(pa.array(np.unique(batch.column(KEY).to_numpy(), return_index=True)[1]))
             row, place, hashes = suffixes(batch, text, window)
             doc, path = batch.column(KEY).to_numpy()[row], hashes[window]
             again = np.zeros(len(path), dtype=bool)

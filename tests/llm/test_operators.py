@@ -173,6 +173,16 @@ def test_substrings_odd_ids(odd):
         assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id, r.text]
 
 
+def test_substrings_of_a_row_given_twice(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, passage + " x " + passage)] * 3 + [(2, "y " + passage)] * 2
+    want = brute.substring_dedup(rows)
+    got = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert len(got) == 5
+    for r in got:
+        assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id, r.text]
+
+
 # Jaccard join
 
 
