@@ -6,7 +6,10 @@ length, and punctuation marks, per block, both without the text of links. The tw
 smoothed along the page, averaged again by path and compared with a threshold; paths above it
 are content. The smallest element that holds the content blocks is the article, and its blocks
 make up the text, except those in elements that are menus, headers, footers, sidebars, notices,
-adverts, forms or comments by their tag, role, class or id.
+adverts, forms or comments by their tag, role, class or id. A class or id says so only of a part:
+it is passed over where its element holds a main, all articles and as much text in them as is
+left without names, or more than half of the page's text; a name of comments is passed over for a main,
+or for all articles where no other text is left.
 
 The page's outline weighs in as part of the fusion: paths through article or main count more.
 Edge cases: null and empty pages, and pages without a block of content, give the empty text;
@@ -44,6 +47,9 @@ PLAIN_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 
+#: Of these, the names of what readers write, which may well be most of a page.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus replies reply respond".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _NAME = re.compile(r"[a-z0-9]+")
@@ -58,31 +64,72 @@ class Block:
     plain: bool
     text: str
     linked: int
+    named: tuple[tuple[int, bool], ...] = ()
     score: float = 0.0
 
 
 class _Open:
-    __slots__ = ("tag", "label", "number", "plain")
+    __slots__ = ("tag", "label", "number", "plain", "names")
 
-    def __init__(self, tag: str, label: str, number: int, plain: bool) -> None:
-        self.tag, self.label, self.number, self.plain = tag, label, number, plain
+    def __init__(self, tag: str, label: str, number: int, plain: bool, names: frozenset[str]) -> None:
+        self.tag, self.label, self.number, self.plain, self.names = tag, label, number, plain, names
 
 
-def _described(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's part of a path, and whether it is boilerplate by its outline."""
-    label, plain = tag, tag in PLAIN_TAGS
+def _described(tag: str, attributes: str) -> tuple[str, bool, frozenset[str]]:
+    """The element's part of a path, whether it is boilerplate by its outline, and its names that say so."""
+    label, plain, names = tag, tag in PLAIN_TAGS, frozenset()
     if attributes and tag not in OUTER:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
                 words = _NAME.findall(value)
                 label += "." + "-".join(words)
-                plain |= not PLAIN_NAMES.isdisjoint(words)
+                names |= PLAIN_NAMES.intersection(words)
             elif name == "role":
                 plain |= value in PLAIN_ROLES
             else:
                 plain |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
-    return label, plain
+    return label, plain, names
+
+
+def _judge_names(blocks: list[Block]) -> None:
+    """Makes blocks plain that stand in a named element, but for those elements whose names are passed over."""
+    open_ = [b for b in blocks if not b.plain]
+    if not any(b.named for b in open_):
+        return
+    sizes = [len(b.text) - b.linked for b in open_]
+    total = sum(sizes)
+    left = sum(n for b, n in zip(open_, sizes, strict=True) if not b.named)
+    articles = 0
+    held: dict[int, list] = {}  # by named element: text, articles and text in them, whether a main, whether of comments
+    seen: set[tuple[int, int]] = set()
+    for b, n in zip(open_, sizes, strict=True):
+        marks = [(x, label) for x, label in zip(b.elements, b.path, strict=True) if label == "article" or label == "main"]
+        outer = next((x for x, label in marks if label == "article"), None)
+        if outer is not None and (0, outer) not in seen:
+            seen.add((0, outer))
+            articles += 1
+        for k, (x, comments) in enumerate(b.named):
+            h = held.setdefault(x, [0, 0, 0, False, comments])
+            # numbers grow along a path: what comes after x is within it
+            h[3] |= any(m > x and label == "main" for m, label in marks)
+            h[0] += n if k == len(b.named) - 1 else 0
+            if outer is not None and outer > x:
+                h[2] += n if b.named[-1][0] < outer else 0
+                if (x, outer) not in seen:
+                    seen.add((x, outer))
+                    h[1] += 1
+    over = set()
+    for x, (text, inside, size, main, comments) in held.items():
+        whole = inside > 0 and inside == articles
+        if main or whole and (left == 0 if comments else size >= left) or not comments and 2 * text > total:
+            over.add(x)
+    # a wrapper around one passed over holds the same main, articles or text
+    for b in open_:
+        last = max((k for k, (x, c) in enumerate(b.named) if x in over), default=-1)
+        over.update(x for x, c in b.named[:last] if not c)
+    for b in open_:
+        b.plain = any(x not in over for x, _ in b.named)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -95,7 +142,7 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = _SPACES.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(tuple(x.label for x in stack), tuple(x.number for x in stack), any(x.plain for x in stack), text, min(state["linked"], len(text))))
+                out.append(Block(tuple(x.label for x in stack), tuple(x.number for x in stack), any(x.plain for x in stack), text, min(state["linked"], len(text)), tuple((x.number, not COMMENT_NAMES.isdisjoint(x.names)) for x in stack if x.names)))
             parts.clear()
         state["linked"] = 0
 
@@ -155,10 +202,11 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[k].tag in same:
                     close(k)
                     break
-        label, plain = _described(tag, attributes)
+        label, plain, names = _described(tag, attributes)
         state["number"] += 1
-        stack.append(_Open(tag, label, state["number"], plain))
+        stack.append(_Open(tag, label, state["number"], plain, names))
     flush()
+    _judge_names(out)
     return out
 
 

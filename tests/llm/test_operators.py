@@ -309,6 +309,19 @@ def test_html(spark):
     assert html.main_text("<div>" * 3000 + "deep, text.") == "deep, text."
 
 
+def test_html_named_wrappers():
+    body = "".join(f"<p>Sentence {k} of the text, with marks, and long enough.</p>" for k in range(4))
+    want = html.main_text(f"<body><main>{body}</main></body>")
+    assert want.count("Sentence") == 4
+    for wrap in ("content-sidebar-wrap", "layout has-sidebar", "post with-header", "has-comments"):
+        for tag in ("main", "article"):
+            assert html.main_text(f"<body><div class='{wrap}'><{tag} class='content'>{body}</{tag}><div class='sidebar'><p>Side, note.</p></div></div></body>") == want
+    assert html.main_text(f"<body><div class='layout has-sidebar'><div><div class='with-header'>{body}</div></div></div><p>Stray.</p></body>").count("Sentence") == 4
+    talk = "".join("<p>I think, as a reader, that it is all quite wrong, really.</p>" for _ in range(30))
+    assert "reader" not in html.main_text(f"<body><div>{body}</div><section class='comments'>{talk}</section></body>")
+    assert "reader" not in html.main_text(f"<body><article>{body}</article><div class='related'><article>{talk}</article></div></body>".replace("related", "comments"))
+
+
 # languages
 
 
