@@ -4,8 +4,8 @@ A page is read into blocks: runs of text between block-level tags, each with the
 block elements from the root. Over the blocks of each path the page gives two ratios: text
 length, and punctuation marks, per block, both without the text of links. The two are fused,
 smoothed along the page, averaged again by path and compared with a threshold; paths above it
-are content. The smallest element that holds the content blocks is the article, and its blocks
-make up the text, except those in elements that are menus, headers, footers, sidebars, notices,
+are content. The outermost article or main that holds the content blocks is the article, or else
+the smallest element that does, and its blocks make up the text, except those in elements that are menus, headers, footers, sidebars, notices,
 adverts, forms or comments by their tag, role, class or id. A class or id says so only of a part:
 it is passed over where its element holds a main, all articles and as much text in them as is
 left without names, or more than half of the page's text; a name of comments is passed over for a main,
@@ -262,6 +262,8 @@ def main_text(page: str | None) -> str:
     # a path that is all of one block's own is no container: its siblings belong to the article
     while depth and content[0].path[depth - 1].split(".")[0] not in ("article", "main", "body", "html", "div", "section", "td", "center", "figure"):
         depth -= 1
+    # a marked article is taken whole
+    depth = next((k + 1 for k in range(shared) if content[0].path[k] in ("article", "main")), depth)
     inside = content[0].elements[:depth]
     return "\n\n".join(b.text for b in blocks if not b.plain and b.elements[:depth] == inside)
 

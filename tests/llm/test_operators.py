@@ -322,6 +322,14 @@ def test_html_named_wrappers():
     assert "reader" not in html.main_text(f"<body><article>{body}</article><div class='related'><article>{talk}</article></div></body>".replace("related", "comments"))
 
 
+def test_html_marked_article_whole():
+    long = "A sentence of the text, with marks. " * 14
+    for tag in ("article", "main"):
+        page = f"<body><p>Stray.</p><{tag}><h1>Title of it</h1><div class=lead><p>A lead of about forty characters, so.</p></div><div class=body>{f'<p>{long}' * 5}</div><div class=ad>Buy, now.</div><div class=end><p>The end.</p></div></{tag}></body>"
+        got = html.main_text(page).split("\n\n")
+        assert got[:2] == ["Title of it", "A lead of about forty characters, so."] and got[-1] == "The end." and len(got) == 8
+
+
 # languages
 
 
