@@ -6,7 +6,7 @@ it has fewer; a document is scanned once and every match is mapped to word numbe
 for the spans, to code points of the original text.
 
 Edge cases: a null or wordless text has no words and no hits; a null or wordless item is
-no window; repeated items and items that share windows are all reported; other columns of
+no window; items with a null id count as one item, which is named in no list; repeated items and items that share windows are all reported; other columns of
 ``docs`` are kept, but for those named like an output column, which are replaced. The
 automaton is bounded: items beyond ``block_bytes`` of text go to further automata, each
 scanning in its own pass that adds to what the earlier ones have found.
@@ -51,7 +51,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Windows:
     """The automaton; its values are (number of words, item ids)."""
 
-    def __init__(self, items: Iterable[tuple[str, str]], window: int) -> None:
+    def __init__(self, items: Iterable[tuple[str | None, str]], window: int) -> None:
         by: dict[str, tuple[int, set[str]]] = {}
         for item, text in items:
             words = words_of(text)
@@ -60,7 +60,7 @@ class Windows:
                 by.setdefault(" " + b" ".join(words[i : i + n]).decode("latin-1") + " ", (n, set()))[1].add(item)
         self.automaton = ahocorasick.Automaton()
         for key, (n, ids) in by.items():
-            self.automaton.add_word(key, (n, tuple(sorted(ids))))
+            self.automaton.add_word(key, (n, tuple(ids)))
         if by:
             self.automaton.make_automaton()
 
@@ -111,15 +111,15 @@ def _pass(items: tuple, window: int, column: str, first: bool, last: bool, schem
                 if len(start):
                     start, end = union(start, end, len(words))
                 if not last:
-                    for c, v in zip(_CARRIED.names, (start.tolist(), end.tolist(), sorted(items_)), strict=True):
+                    for c, v in zip(_CARRIED.names, (start.tolist(), end.tolist(), list(items_)), strict=True):
                         out[c].append(v)
                     continue
-                ids = sorted(items_)
+                ids = sorted(i for i in items_ if i is not None)
                 spans = []
                 if len(start):
                     at = [m.span() for m in _ORIGINAL.finditer(text)]
                     spans = [{"start": at[s][0], "end": at[e - 1][1]} for s, e in zip(start, end, strict=True)]
-                row = (len(words), int((end - start).sum()), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(len(start)), ids, spans)
+                row = (len(words), int((end - start).sum()), len(items_), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(len(start)), ids, spans)
                 for c, v in zip(FOUND.names, row, strict=True):
                     out[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if f.name in out else batch.column(f.name) for f in schema], schema=schema)
@@ -129,12 +129,12 @@ def _pass(items: tuple, window: int, column: str, first: bool, last: bool, schem
 
 def item_blocks(items: DataFrame, id_column: str, text_column: str, block_bytes: int) -> Iterator[tuple]:
     """The items in parts of about block_bytes; no more than one part is asked of Spark at a time."""
-    kept = items.select(F.col(id_column).cast("string").alias("i"), F.col(text_column).alias("t")).where("i is not null and t is not null").distinct()
+    kept = items.select(F.col(id_column).cast("string").alias("i"), F.col(text_column).alias("t")).where("t is not null").distinct()
     total = kept.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
-        part = kept.where(F.expr(f"pmod(xxhash64(i), {n}) = {k}")) if n > 1 else kept
-        yield tuple(sorted((r.i, r.t) for r in part.collect()))
+        part = kept.where(F.expr(f"pmod(xxhash64(coalesce(i, t)), {n}) = {k}")) if n > 1 else kept
+        yield tuple(sorted(((r.i, r.t) for r in part.collect()), key=lambda x: (x[0] is not None, x[0] or "", x[1])))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

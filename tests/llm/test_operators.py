@@ -151,6 +151,15 @@ def test_decontaminate(spark, docs, rows, empty, block):
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_decontaminate_items_without_id(spark, block):
+    a, b = (" ".join(f"{c}{i}" for i in range(12)) for c in "ab")
+    bench = spark.createDataFrame([(None, a), (None, b), (7, b), (8, None)], "item_id long, text string")
+    df = spark.createDataFrame([(1, "x " + a), (2, b), (3, "x y"), (4, a + " " + b)], "doc_id long, text string")
+    got = by_id(decontaminate.decontaminate(df, bench, block_bytes=block), "n_hit", "n_items", "items", "contaminated")
+    assert got == {1: (12, 1, [], True), 2: (12, 2, ["7"], True), 3: (0, 0, [], False), 4: (24, 2, ["7"], True)}
+
+
 # substring dedup
 
 
