@@ -131,6 +131,14 @@ def test_mined_urls(spark):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_mined_urls_of_four_tokens(spark):
+    words = ["alpha", "beta", "gamma", "delta"]
+    paths = [(words, True)] + [([w if w != gone else "1" for w in words], False) for gone in words] + [(["1", "2", "3", "4"], False)] * 3
+    rows = [(f"http://a.com/{'/'.join(path)}", bad) for path, bad in paths for _ in range(40)]
+    rules = urls.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"))
+    assert [(r.tokens, r.confidence) for r in rules] == [(tuple(sorted(f"path:{w}" for w in words)), 1.0)]
+
+
 # decontamination
 
 ITEMS = [(0, "w1 w2 w3"), (1, None), (2, ""), (3, "!!"), (4, "nothing that is there at all in any of these texts here"), (0, "w1 w2 w3")]
