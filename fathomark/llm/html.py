@@ -158,16 +158,16 @@ class Page:
 
 def read_page(text: str) -> Page:
     page, parts = Page(), []
-    stack, linked, in_link = [0], 0, False
+    stack, loose, links, in_link = [0], 0, False, False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal loose, links
         if parts:
             own = _SPACES.sub(" ", html.unescape("".join(parts))).strip()
             if own and not page.elements[stack[-1]].hidden:
-                page.blocks.append(Block(stack[-1], own, min(linked, len(own))))
+                page.blocks.append(Block(stack[-1], own, max(0, len(own) - loose) if links else 0))
             parts.clear()
-        linked = 0
+        loose, links = 0, in_link
 
     def close(depth: int) -> None:
         flush()
@@ -180,8 +180,8 @@ def read_page(text: str) -> Page:
         piece = text[at : m.start() if m else size]
         if piece:
             parts.append(piece)
-            if in_link:
-                linked += len(piece)
+            # blanks between links are theirs
+            loose += 0 if in_link else len(piece.strip())
         if m is None:
             break
         at = m.end()
@@ -196,6 +196,7 @@ def read_page(text: str) -> Page:
         if tag in INLINE:
             if tag == "a":
                 in_link = not ends
+                links |= in_link
             elif tag == "br":
                 parts.append(" ")
             continue
