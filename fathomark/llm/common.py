@@ -4,32 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: documents can be long, and a batch is held whole.
-ARROW_ROWS = "1000"
+#: Parts of a table of counts that are summed apart, and tasks whose parts one task sums at first.
+SLICES = 64
+FAN_IN = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that hold whole texts, unless the user has set a bound below."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= int(ARROW_ROWS):
-        spark.conf.set(key, ARROW_ROWS)
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests on one machine)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or the context's checkpoint folder; only a local master gets one of its own where neither is set."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fathomark-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -70,3 +69,29 @@ def unvarint(data: bytes) -> np.ndarray:
     start = np.concatenate(([0], last[:-1] + 1))
     place = np.arange(len(b)) - np.repeat(start, last - start + 1)
     return np.add.reduceat((b & 127).astype(np.uint64) << (7 * place).astype(np.uint64), start)
+
+
+def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from fathomark.llm.packing import squeeze, unsqueeze
+
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            total[part] = total.get(part, 0) + unsqueeze(data, "<i8")
+    for part, x in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([squeeze(x, "<i8")], pa.binary())], names=["part", "kind", "data"])
+
+
+def slices_summed(blobs: DataFrame, slices: int, length: int, tasks: int) -> np.ndarray:
+    """The sum of tables of counts, of which each task gives all slices (part; data as packed by squeeze): by a tree of tasks, of which none sums more than FAN_IN tables or as many partial sums as there are of those."""
+    from fathomark.llm.packing import unsqueeze
+
+    schema = "part int, kind int, data binary"
+    groups = tasks // FAN_IN
+    if groups > 1:
+        group = F.pmod(F.spark_partition_id(), F.lit(groups))
+        blobs = blobs.withColumn("kind", group).repartition(groups * slices, "part", "kind").mapInArrow(_sum_slices, schema)
+    out = np.zeros((slices, length // SLICES), dtype=np.int64)
+    for r in blobs.repartitionById(slices, "part").mapInArrow(_sum_slices, schema).collect():
+        out[r.part] = unsqueeze(r.data, "<i8")
+    return out.reshape(-1)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from fathomark.llm.common import small_batches, written
+from fathomark.llm.common import SLICES, slices_summed, written
 from fathomark.llm.components import components
 from fathomark.llm.packing import bytes_to_rows, join_parts, parts_by, sized_batches, split_parts, squeeze, unsqueeze
 from fathomark.llm.rows import KEY, keyed
@@ -170,7 +170,7 @@ def can_link(n: np.ndarray, data: list[bytes], percent: int) -> np.ndarray:
 _SETS = "kind int, key long, a long, b long, n long, part int, data binary"
 
 
-def _survey(text: str, width: int, slices: int):
+def _survey(text: str, width: int, slices: int = SLICES):
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CLASS_BITS, dtype=np.uint32)
         for batch in sized_batches(batches, CHUNK_BYTES):
@@ -183,20 +183,11 @@ def _survey(text: str, width: int, slices: int):
             yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(m, np.int32)), "key": batch.column(KEY), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "n": pa.array(np.diff(at).astype(np.int64)), "part": pa.nulls(m, pa.int32()), "data": pa.array(histograms(tokens, at), pa.binary())})
         if counts.any():
             none = pa.nulls(slices, pa.int64())
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(slices, np.int32)), "key": none, "a": none, "b": none, "n": none, "part": pa.array(range(slices), pa.int32()), "data": [squeeze(x, "<u4") for x in np.split(counts, slices)]})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(slices, np.int32)), "key": none, "a": none, "b": none, "n": none, "part": pa.array(range(slices), pa.int32()), "data": [squeeze(x, "<i8") for x in np.split(counts, slices)]})
 
     return survey
 
 
-def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            total[part] = total.get(part, 0) + unsqueeze(data, "<u4").astype(np.int64)
-    for part, x in total.items():
-        yield _blob_batch([(part, 0, x.tobytes())])
-
-
 def class_levels(counts: np.ndarray) -> tuple[np.ndarray, int]:
     """A level from 0 to 255 for each class, rising with its count, and the first level that is frequent."""
     mean = max(1.0, counts.sum() / len(counts))
@@ -415,17 +406,14 @@ OUT = ("n_shingles", "component_id", "first_of_component")
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT, tokens_each: int = TOKENS) -> DataFrame:
     """All rows of docs with n_shingles (long), component_id (the smallest id reachable by links) and whether the row is the one so named."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (*OUT, KEY)))
     rows = keyed(docs, doc_id, text)
     own = rows.select(KEY, F.col(f"`{text}`").alias("text"))
     sp = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    slices = 64
-    surveyed = written(own.mapInArrow(_survey("text", width, slices), _SETS), "sets")
-    counts = np.zeros(1 << CLASS_BITS, dtype=np.int64)
-    for r in surveyed.where("kind = 0").select("part", "data").repartitionById(slices, "part").mapInArrow(_sum_counts, _BLOB).collect():
-        counts[r.part << (CLASS_BITS - 6) : (r.part + 1) << (CLASS_BITS - 6)] = np.frombuffer(r.data, dtype=np.int64)
+    surveyed = written(own.mapInArrow(_survey("text", width), _SETS), "sets")
+    tables = surveyed.where("kind = 0")
+    counts = slices_summed(tables.select("part", "kind", "data"), SLICES, 1 << CLASS_BITS, tasks=tables.where("part = 0").count())
     levels, frequent = class_levels(counts)
     sets = surveyed.where("kind = 1").select("key", "a", "b", "n").distinct()
     full = surveyed.where("kind = 1 and n > 0")

@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from fathomark.llm.common import small_batches
 from fathomark.llm.packing import sized_batches
 from fathomark.llm.wordhash import text_bytes
 
@@ -222,7 +221,6 @@ def label(network: Network, column: pa.Array, rows: int = 4096) -> tuple[np.ndar
 
 def identify(docs: DataFrame, network: Network | None, *, text: str = "text") -> DataFrame:
     """All rows of docs with lang_pred, score (its pooled probability) and label_share (the share of bytes labelled so)."""
-    small_batches(docs.sparkSession)
     kept = [f for f in docs.schema if f.name not in OUT.names]
     schema = T.StructType([*kept, *OUT])
     arrow = to_arrow_schema(schema)

@@ -1,26 +1,35 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
-A suffix starts at a word that has ``window`` words of its document from it on; its path is
-those words. The suffix tree of all documents is cut into subtrees that fit in memory:
+A suffix starts at a word that has ``window`` words of its document from it on. The suffix tree of
+all documents, down to the depth of ``window`` words, is cut into subtrees that fit in memory:
 
 1. count   How many suffixes start with each prefix of 1, 2, 4, 8, 16 and ``window`` words,
-           by class of the prefix's hash: tables of fixed size, summed over all documents.
-2. split   A class of one-word prefixes with few enough suffixes is a subtree; the others are
-           lengthened to two words, and so on. The subtrees are dealt to partitions, the
-           largest first. A path found in a third of all documents is a class of its own
-           at full length, and each task sends it once for each chunk of documents.
-3. build   A partition sorts its suffixes by path. An internal node at depth ``window`` is a
-           run of equal paths; its first leaf, by document and place, stays and the others
-           are repeats. Runs of repeats in a document are its repeated substrings.
-4. remove  Repeats go back to their documents, which are read once more, by document key.
-
-Paths are compared as 56-bit hashes within a partition (``label_bytes``), so that two different
-paths in a partition of 1.5 million count as one with a chance of about 2**-16 for the whole
-partition. Suffixes and documents travel as compressed blobs, not as rows.
+           by class of the prefix's hash: tables of fixed size, summed over all documents by a tree of tasks.
+2. split   A class of one-word prefixes with few enough suffixes is a group; the others are
+           lengthened to two words, and so on. Groups are dealt to partitions, the largest
+           first; a partition that has more suffixes than memory should hold builds them in
+           turns, each of the full-length prefixes of one share of the hash.
+3. build   Suffixes have order-preserving labels: the hash of the first word, then that of the first
+           two, and so on to the whole window. Sorted by label they are the leaves of a tree, and
+           the labels' common prefix with the next leaf gives the depths of its internal nodes
+           (``SuffixTree``). An internal node at the depth of the window is a word sequence
+           that occurs more than once; its first leaf, by document and place, stays, and
+           the others are repeats. Each task builds the tree of its own chunk of documents
+           first and sends a repeated sequence's first leaf only, so that a passage of a third
+           of all documents is met once for each chunk; repeats that the chunk knows go to
+           their documents at once, through the partition of the document and not of the sequence.
+4. remove  Repeats of a document, put end to end, are its maximal repeats: stretches of which every
+           window repeats, and that no word on either side lengthens. They go back to their
+           documents, which are read once more, by document key.
+
+Sequences are compared by labels of ``label_bytes`` bytes, of which the last four (of seven) tell sequences
+with the same first sixteen words apart; two different ones that differ earlier agree by chance once in 2**56.
+Suffixes and documents travel as compressed blobs, not as rows.
 
 Edge cases: a null text has no words; fewer words than the window give no window; rows alike in
 id and text are one document and get the same result; rows of one id and different texts, and
-null ids, are ordered by id, then text; other columns are kept, except those named like an
+null ids, are ordered by id, then text; a very long text is one document in memory, its suffixes spread over
+partitions as all others; other columns are kept, except those named like an
 output column, which are replaced; an empty table gives an empty one.
 """
 
@@ -38,8 +47,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from fathomark.llm.common import small_batches
-from fathomark.llm.packing import bytes_to_rows, cut_bytes, join_parts, pack_places, parts_by, rows_to_bytes, sized_batches, split_parts, uncut_bytes, unpack_places
+from fathomark.llm.common import SLICES, slices_summed
+from fathomark.llm.packing import bytes_to_rows, cut_bytes, join_parts, pack_places, parts_by, rows_to_bytes, sized_batches, split_parts, squeeze, uncut_bytes, unpack_places
 from fathomark.llm.rows import KEY, keyed
 from fathomark.llm.wordhash import hash_words, mix, run_hashes, text_bytes
 
@@ -50,12 +59,71 @@ SUFFIXES = 1_500_000
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 SPANS = T.StructField("repeats", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
 _BLOB = "part int, kind int, data binary"
+#: Classes of prefixes that are counted, by depth; with up to some 100,000 partitions each has several.
+CLASS_BITS = 18
+#: Bits of a label for each depth but the last; the first word has twice as many.
+LEVEL_BITS = 4
+PARTITIONS = 100_000
+#: What a task reads at least, to tell how many tables of counts there are.
+TASK_BYTES = 32 << 20
 
 
 def depths_for(window: int) -> tuple[int, ...]:
     return (*(1 << k for k in range(window.bit_length()) if 1 << k < window), window)
 
 
+def label_cuts(levels: int) -> list[int]:
+    """How many bits of a label stand for the first 1, 2, ... levels; the last takes all that are left."""
+    return [LEVEL_BITS * (k + 2) for k in range(levels - 1)] + [64]
+
+
+def labels_of(hashes: dict[int, np.ndarray]) -> np.ndarray:
+    """Of each suffix: the leading bits of the hashes of its prefixes, the shortest first."""
+    out, done = None, 0
+    for d, cut in zip(sorted(hashes), label_cuts(len(hashes)), strict=True):
+        bits = hashes[d] >> np.uint64(64 - (cut - done)) << np.uint64(64 - cut)
+        out = bits if out is None else out | bits
+        done = cut
+    return out
+
+
+class SuffixTree:
+    """The tree of suffixes with these labels: leaves in order, and for each but the last the levels that it shares with the next."""
+
+    def __init__(self, labels: np.ndarray, levels: int) -> None:
+        self.levels = levels
+        self.leaves = np.argsort(labels, kind="stable")
+        ordered = labels[self.leaves]
+        differ = ordered[1:] ^ ordered[:-1]
+        self.shared = np.zeros(len(differ), dtype=np.int8)
+        for cut in label_cuts(levels):
+            self.shared += (differ == 0) if cut == 64 else (differ >> np.uint64(64 - cut) == 0)
+
+    def nodes(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last leaf of each internal node at a level (from 1): leaves that share so many levels, and some no more."""
+        same = np.concatenate(([False], self.shared >= level, [False])).astype(np.int8)
+        edge = np.diff(same)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if len(first) and level < self.levels:
+            upto = np.concatenate(([0], np.cumsum(self.shared == level)))
+            branches = upto[last] > upto[first]
+            first, last = first[branches], last[branches]
+        return first, last
+
+    def repeats(self, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The leaves of the deepest nodes but for the first of each by document and place."""
+        first, last = self.nodes(self.levels)
+        n = last - first + 1
+        if not len(n):
+            return np.zeros(0, dtype=np.int64)
+        node = np.repeat(np.arange(len(n)), n)
+        leaves = self.leaves[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
+        leaves = leaves[np.lexsort((place[leaves], doc[leaves], node))]
+        # a suffix given twice is the first one, too
+        earliest = np.repeat(leaves[np.cumsum(n) - n], n)
+        return leaves[(doc[leaves] != doc[earliest]) | (place[leaves] != place[earliest])]
+
+
 def suffixes(batch: pa.RecordBatch, text: str, window: int) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     """Row in the batch, place in its text, and hashes of the prefixes of each depth, for all suffixes in order."""
     buf, begin = text_bytes(batch.column(text))
@@ -77,20 +145,12 @@ def _count(text: str, window: int, bits: int):
             hashes = suffixes(batch, text, window)[2]
             for k, d in enumerate(depths):
                 total[k] += np.bincount((hashes[d] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(depths)), pa.int32()), "kind": pa.array([0] * len(depths), pa.int32()), "data": [x.tobytes() for x in total]})
+        if total.any():
+            yield _blob_batch([(k * SLICES + j, 0, squeeze(x, "<i8")) for k, depth in enumerate(total) for j, x in enumerate(np.split(depth, SLICES))])
 
     return count
 
 
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            total[part] = total.get(part, 0) + np.frombuffer(data, dtype=np.int64)
-    for part, x in total.items():
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "kind": pa.array([0], pa.int32()), "data": [x.tobytes()]})
-
-
 def split_tree(counts: np.ndarray, partitions: int) -> np.ndarray:
     """For each depth and class the partition of its subtree, or -1 where prefixes are lengthened."""
     total = int(counts[0].sum())
@@ -121,66 +181,66 @@ def _route(hashes: dict[int, np.ndarray], table: np.ndarray) -> np.ndarray:
     return part
 
 
-def later(hashes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The leaves of the deep nodes but for the first of each: indices of the suffixes whose path also starts earlier."""
-    order = np.argsort(hashes, kind="stable")
-    same = hashes[order][1:] == hashes[order][:-1]
-    inner = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(order) else np.zeros(0, dtype=bool)
-    leaves = order[inner]
-    leaves = leaves[np.lexsort((place[leaves], doc[leaves], hashes[leaves]))]
-    if not len(leaves):
-        return leaves
-    node = np.concatenate(([True], hashes[leaves][1:] != hashes[leaves][:-1]))
-    first = leaves[np.maximum.accumulate(np.where(node, np.arange(len(leaves)), 0))]
-    return leaves[(doc[leaves] != doc[first]) | (place[leaves] != place[first])]
-
-
 def _blob_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     part, kind, data = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["part", "kind", "data"])
 
 
-def _emit(text: str, window: int, table: np.ndarray, label_bytes: int):
-    partitions = int(table.max()) + 1
+def _emit(text: str, window: int, table: np.ndarray, label_bytes: int, turns: int, documents: int):
+    """Leaves for the subtrees (kind: the turn), and repeats that the chunk knows, by document (kind -1)."""
+    partitions, levels = int(table.max()) + 1, len(depths_for(window))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, CHUNK_BYTES):
             # rows that share a key are one document: each place is sent once, in ascending order
             batch = batch.take(pa.array(np.unique(batch.column(KEY).to_numpy(), return_index=True)[1]))
             row, place, hashes = suffixes(batch, text, window)
-            doc, path = batch.column(KEY).to_numpy()[row], hashes[window]
-            again = np.zeros(len(path), dtype=bool)
-            again[later(path, doc, place)] = True
-            part = _route(hashes, table)
+            doc, label = batch.column(KEY).to_numpy()[row], labels_of(hashes)
+            part = _route(hashes, table).astype(np.int64) * turns
+            if turns > 1:
+                part += (mix(hashes[window]) % np.uint64(turns)).astype(np.int64)
             del hashes
-            for p, own in parts_by(part, partitions):
-                new, old = own[~again[own]], own[again[own]]
-                yield _blob_batch([(p, 0, join_parts([pack_places(doc[new], place[new]), cut_bytes(path[new], label_bytes), pack_places(doc[old], place[old])]))])
+            new = np.ones(len(label), dtype=bool)
+            new[SuffixTree(label, levels).repeats(doc, place)] = False
+            known, new = np.flatnonzero(~new), np.flatnonzero(new)
+            for p, own in parts_by(part[new], partitions * turns):
+                own = new[own]
+                yield _blob_batch([(p // turns, p % turns, join_parts([pack_places(doc[own], place[own]), cut_bytes(label[own] >> np.uint64(64 - 8 * label_bytes), label_bytes)]))])
+            for p, own in parts_by(bucket(doc[known], documents), documents):
+                yield _blob_batch([(p, -1, pack_places(doc[known[own]], place[known[own]]))])
 
     return emit
 
 
-def _build(documents: int, label_bytes: int):
+def _build(window: int, documents: int, label_bytes: int):
+    levels = len(depths_for(window))
+
+    def subtree(doc: list[np.ndarray], place: list[np.ndarray], label: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if doc:
+            doc, place, label = np.concatenate(doc), np.concatenate(place), np.concatenate(label)
+            again = SuffixTree(label << np.uint64(64 - 8 * label_bytes), levels).repeats(doc, place)
+            doc, place = doc[again], place[again].astype(np.int64)
+            order = np.lexsort((place, doc))
+            doc, place = doc[order], place[order]
+            for p, own in parts_by(bucket(doc, documents), documents):
+                yield _blob_batch([(p, 0, pack_places(doc[own], place[own]))])
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, place, path, known = [], [], [], []
+        doc, place, label, turn = [], [], [], None
         for batch in batches:
-            for data in batch.column("data").to_pylist():
-                new, labels, old = split_parts(data)
-                d, q = unpack_places(new)
+            for part, kind, data in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if kind < 0:
+                    yield _blob_batch([(part, 0, data)])
+                    continue
+                if kind != turn:
+                    yield from subtree(doc, place, label)
+                    doc, place, label, turn = [], [], [], kind
+                places, labels = split_parts(data)
+                d, q = unpack_places(places)
                 doc.append(d)
                 place.append(q.astype(np.uint32))
-                path.append(uncut_bytes(labels, label_bytes))
-                known.append(unpack_places(old))
-        if not doc:
-            return
-        doc, place, path = np.concatenate(doc), np.concatenate(place), np.concatenate(path)
-        again = later(path, doc, place)
-        doc = np.concatenate([doc[again], *(d for d, _ in known)])
-        place = np.concatenate([place[again], *(q for _, q in known)]).astype(np.int64)
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        for p, own in parts_by(bucket(doc, documents), documents):
-            yield _blob_batch([(p, 0, pack_places(doc[own], place[own]))])
+                label.append(uncut_bytes(labels, label_bytes))
+        yield from subtree(doc, place, label)
 
     return build
 
@@ -245,24 +305,23 @@ def _remove(text: str, window: int, schema: pa.Schema, kept_text: str | None):
 
 
 def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, replace: bool = False, label_bytes: int = 7, suffixes_each: int = SUFFIXES) -> DataFrame:
-    """All rows of docs with the columns of FOUND and SPANS (word spans removed). replace: text becomes the kept words, where any was removed."""
+    """All rows of docs with the columns of FOUND and SPANS (the maximal repeats, as spans of words, which are removed). replace: text becomes the kept words, where any was removed."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (*FOUND.names, SPANS.name, KEY)))
     rows = keyed(docs, doc_id, text)
     own = rows.select(KEY, F.col(f"`{text}`").alias("text"))
 
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(18, max(12, (size // 100_000).bit_length()))
-    counted = own.mapInArrow(_count("text", window, bits), _BLOB).repartitionById(len(depths_for(window)), "part").mapInArrow(_sum, _BLOB)
-    counts = np.zeros((len(depths_for(window)), 1 << bits), dtype=np.int64)
-    for r in counted.collect():
-        counts[r.part] = np.frombuffer(r.data, dtype=np.int64)
+    depths, bits = depths_for(window), min(CLASS_BITS, max(12, (size // 100_000).bit_length()))
+    counts = slices_summed(own.mapInArrow(_count("text", window, bits), _BLOB), len(depths) * SLICES, 1 << bits, tasks=size // TASK_BYTES).reshape(len(depths), -1)
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts[0].sum()) // suffixes_each))
+    suffixes_ = int(counts[0].sum())
+    n = min(PARTITIONS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes_ // suffixes_each)))
+    turns = max(1, -(-suffixes_ // (n * suffixes_each)))
     table = split_tree(counts, n)
-    leaves = own.mapInArrow(_emit("text", window, table, label_bytes), _BLOB)
-    repeats = leaves.repartitionById(n, "part").mapInArrow(_build(n, label_bytes), _BLOB)
+    leaves = own.mapInArrow(_emit("text", window, table, label_bytes, turns, n), _BLOB).repartitionById(n, "part")
+    leaves = leaves.sortWithinPartitions("kind") if turns > 1 else leaves
+    repeats = leaves.mapInArrow(_build(window, n, label_bytes), _BLOB)
     texts = rows.mapInArrow(documents_by_key(n), _BLOB)
     both = repeats.unionByName(texts).repartitionById(n, "part").sortWithinPartitions("kind")
     schema = T.StructType([*docs.schema, *FOUND, SPANS])

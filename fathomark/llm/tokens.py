@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomark.llm.common import scratch, small_batches
+from fathomark.llm.common import scratch
 from fathomark.llm.packing import sized_batches
 from fathomark.llm.wordhash import hash_runs, text_bytes
 
@@ -250,7 +250,6 @@ ENTRIES = "doc_id long, start long, n_tokens long, ids_crc32 long"
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, doc_id: str = "doc_id", text: str = "text", shards: int | None = None) -> list[tuple[int, str, int, int]]:
     """Encode docs and write shards below path; gives the manifest, a row for each shard: number, path, documents, ids."""
     spark = docs.sparkSession
-    small_batches(spark)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,3 +91,17 @@ def phrases(text, wanted):
         hits += [(i, label) for i in range(len(w) - len(q) + 1) if w[i : i + len(q)] == q]
     at = [i for i, _ in hits]
     return (len(w), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits})))
+
+
+def repeats(docs, window=20):
+    """Maximal stretches of words each of whose windows starts earlier, too."""
+    seen, out = set(), {}
+    for d, t in sorted(docs, key=lambda x: x[0]):
+        w = plain(t)
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if (k := tuple(w[i : i + window])) in seen:
+                gone |= set(range(i, i + window))
+            seen.add(k)
+        out[d] = [(a, next(b for b in range(a, len(w) + 1) if b not in gone)) for a in sorted(gone) if a - 1 not in gone]
+    return out

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fathomark.llm import components, decontaminate, html, jaccard, langid, licenses, packing, pieces, quality, substrings, tokens, urls, wordhash
+from fathomark.llm import common, components, decontaminate, html, jaccard, langid, licenses, packing, pieces, quality, substrings, tokens, urls, wordhash
 from fathomark.llm.queries import PHRASES, URL_RULES
 from tests.llm import brute
 
@@ -182,6 +182,56 @@ def test_substrings(docs, rows, empty):
     assert len(replaced.text.split()) == replaced.n_words - replaced.n_removed
 
 
+def test_maximal_repeats(docs, rows):
+    want = brute.repeats(rows)
+    for turns in (10**6, 60):  # one group for each partition, and many
+        got = substrings.dedup_substrings(docs, suffixes_each=turns).collect()
+        assert {r.doc_id: [(x.start, x.end) for x in r.repeats] for r in got} == want and any(want.values())
+
+
+def test_suffix_tree():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 3, 600).astype(np.uint64)
+    hashes = wordhash.run_hashes(wordhash.mix(words + np.uint64(7)), substrings.depths_for(4))
+    hashes = {d: h[:597] for d, h in hashes.items()}
+    tree = substrings.SuffixTree(substrings.labels_of(hashes), len(hashes))
+    paths = [tuple(words[i : i + 4].tolist()) for i in range(597)]
+    for level, depth in enumerate(substrings.depths_for(4), 1):
+        count = {}
+        for p in paths:
+            count.setdefault(p[:depth], set()).add(p[: substrings.depths_for(4)[level]] if level < len(hashes) else None)
+        first, last = tree.nodes(level)
+        have = {p: [paths.index(p), paths.count(p)] for p in set(paths)}
+        leaves = {paths[tree.leaves[a]][:depth]: b - a + 1 for a, b in zip(first.tolist(), last.tolist(), strict=True)}
+        want = {p: sum(q[:depth] == p for q in paths) for p, then in count.items() if (len(then) > 1 if level < len(hashes) else have[p][1] > 1)}
+        assert leaves == want
+    doc = np.zeros(597, dtype=np.int64)
+    again = tree.repeats(doc, np.arange(597))
+    assert sorted(again.tolist()) == [i for i, p in enumerate(paths) if p in paths[:i]]
+
+
+def test_a_passage_of_every_document_stays_apart(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{passage} " + " ".join(f"u{i}x{k}" for k in range(30))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substrings.dedup_substrings(df, suffixes_each=2000)
+    assert got.where("doc_id > 0 and n_removed <> 40").isEmpty() and got.where("doc_id = 0").first().n_removed == 0
+    # a chunk sends each repeated sequence once to its subtree, and the repeats that it knows by document
+    own = spark.createDataFrame(rows, "_row_key long, text string").coalesce(1)
+    table = np.zeros((6, 1 << 12), dtype=np.int32)
+    sent = own.mapInArrow(substrings._emit("text", 20, table, 7, 1, 16), substrings._BLOB).collect()
+    leaves = sum(len(packing.unpack_places(packing.split_parts(r.data)[0])[0]) for r in sent if r.kind >= 0)
+    known = [len(packing.unpack_places(r.data)[0]) for r in sent if r.kind < 0]
+    assert leaves == 400 * 51 - 399 * 21 and sum(known) == 399 * 21 and len(known) == 16 and max(known) < 3 * sum(known) / 16
+
+
+def test_counts_are_summed_by_a_tree(spark):
+    tables = np.arange(64 * 4 * 5).reshape(5, 64, 4)
+    df = spark.createDataFrame([(j, 0, bytearray(packing.squeeze(t[j], "<i8"))) for t in tables for j in range(64)], "part int, kind int, data binary").repartition(5)
+    for tasks in (5, 3 * 256):
+        assert common.slices_summed(df, 64, 256, tasks).tolist() == tables.sum(axis=0).reshape(-1).tolist()
+
+
 def test_substrings_odd_ids(odd):
     want = brute.substring_dedup([tuple(r) for r in odd.collect()])
     got = substrings.dedup_substrings(odd).collect()
