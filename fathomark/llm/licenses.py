@@ -1,119 +1,34 @@
 """License scans by ordered signature rules.
 
 A text becomes words (A-Z lowered, runs of letters, digits and whatever is not ASCII) joined by one
-space. Signature rules are regular expressions over that line, each with keywords, a priority, a
-label and a confidence. The rules of which the line contains a keyword and the fixed words of their form
-are run; both stand in whatever a rule matches, so that no match is lost. Every match is an interval of words. An interval
+space. The signature rules (``license_rules``) are regular expressions over that line, each with keywords, a priority, a
+label and a confidence. Rules of which the line contains a keyword are run; one of them stands in whatever a
+rule matches, so that no match is lost. Every match is an interval of words. An interval
 that lies within another that is longer, or alike and of higher priority, is suppressed; the labels
 of those left are the text's, along with those of the phrases asked for, which are always kept.
+All is built from DataFrame functions.
 
-The rules are written as families (names of a license and its versions) and forms (the ways to state
-it), and multiplied out. All is built from DataFrame functions.
-
-Edge cases: null counts as empty; a text without a match has no labels, null places and score 0;
-repeated rows are scanned each by itself; other columns are kept, except those named like an output column.
+Edge cases: null counts as empty; a text without a match has no labels, null places and score 0; of
+hits alike in place and priority the label that sorts first stays; whole texts are scanned, however long;
+repeated rows are scanned each by itself; an empty table gives an empty one; other columns are kept,
+except those named like an output column.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomark.llm.license_rules import Rule, signature_rules
 from fathomark.llm.quality import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OTHER = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
-@dataclass(frozen=True)
-class Rule:
-    label: str
-    keywords: tuple[str, ...]
-    pattern: str
-    priority: int
-    confidence: float
-    fixed: str = ""
-
-
-# Label, SPDX identifier's words, name, keywords. Names are patterns over words.
-FAMILIES: tuple[tuple[str, str, str, str], ...] = (
-    ("mit", "mit", "(?:expat|mit(?: x11)?)", "mit|expat"),
-    ("mit-0", "mit 0", "mit no attribution", "no attribution|mit 0"),
-    ("apache-1.1", "apache 1 1", "apache(?: software)? (?:license )?(?:version |v )?1 1", "apache"),
-    ("apache-2", "apache 2 0", "apache(?: software)? (?:license )?(?:version |v )?2(?: 0)?", "apache"),
-    ("bsd-2-clause", "bsd 2 clause", "(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)", "bsd"),
-    ("bsd-3-clause", "bsd 3 clause", "(?:bsd (?:3|three) clause|(?:3|three) clause bsd|(?:new|modified|revised) bsd)", "bsd"),
-    ("bsd-4-clause", "bsd 4 clause", "(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)", "bsd"),
-    ("0bsd", "0bsd", "(?:zero clause bsd|0bsd|bsd zero clause)", "bsd"),
-    ("gpl-1", "gpl 1 0(?: only| or later)?", "(?:gnu )?(?:gpl|general public license) ?(?:version |v )?v?1(?: 0)?", "gpl|general public"),
-    ("gpl-2", "gpl 2 0(?: only| or later)?", "(?:gnu )?(?:gpl|general public license) ?(?:version |v )?v?2(?: 0)?", "gpl|general public"),
-    ("gpl-3", "gpl 3 0(?: only| or later)?", "(?:gnu )?(?:gpl|general public license) ?(?:version |v )?v?3(?: 0)?", "gpl|general public"),
-    ("lgpl-2", "lgpl 2 0(?: only| or later)?", "(?:lgpl|(?:gnu )?library general public license) ?(?:version |v )?v?2(?: 0)?", "lgpl|library general"),
-    ("lgpl-2.1", "lgpl 2 1(?: only| or later)?", "(?:lgpl|(?:gnu )?lesser general public license) ?(?:version |v )?v?2 1", "lgpl|lesser general"),
-    ("lgpl-3", "lgpl 3 0(?: only| or later)?", "(?:lgpl|(?:gnu )?lesser general public license) ?(?:version |v )?v?3(?: 0)?", "lgpl|lesser general"),
-    ("agpl-3", "agpl 3 0(?: only| or later)?", "(?:agpl|(?:gnu )?affero general public license) ?(?:version |v )?v?3(?: 0)?", "agpl|affero"),
-    ("mpl-1.1", "mpl 1 1", "(?:mpl|mozilla public license) ?(?:version |v )?v?1 1", "mpl|mozilla"),
-    ("mpl-2", "mpl 2 0(?: no copyleft exception)?", "(?:mpl|mozilla public license) ?(?:version |v )?v?2(?: 0)?", "mpl|mozilla"),
-    ("epl-1", "epl 1 0", "(?:epl|eclipse public license) ?(?:version |v )?v?1(?: 0)?", "epl|eclipse"),
-    ("epl-2", "epl 2 0", "(?:epl|eclipse public license) ?(?:version |v )?v?2(?: 0)?", "epl|eclipse"),
-    ("eupl-1.2", "eupl 1 2", "(?:eupl|european union public licen[cs]e) ?(?:version |v )?v?1 2", "eupl|european union"),
-    ("cddl-1", "cddl 1 0", "(?:cddl|common development and distribution license) ?(?:version |v )?v?1(?: 0)?", "cddl|common development"),
-    ("cpl-1", "cpl 1 0", "common public license(?: version)? 1(?: 0)?", "cpl|common public"),
-    ("isc", "isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
-    ("unlicense", "unlicense", "(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "(?:wtfpl|do what the fuck you want to public license)", "wtfpl|what the fuck"),
-    ("boost-1", "bsl 1 0", "boost software license(?: version)?(?: 1(?: 0)?)?", "boost|bsl"),
-    ("artistic-1", "artistic 1 0(?: perl| cl8)?", "artistic license(?: version)? 1(?: 0)?", "artistic"),
-    ("artistic-2", "artistic 2 0", "artistic license(?: version)? 2(?: 0)?", "artistic"),
-    ("python-2", "(?:python|psf) 2 0", "(?:python software foundation|psf) license(?: version)? ?2?(?: 0)?", "python|psf"),
-    ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("openssl", "openssl", "openssl", "openssl"),
-    ("php-3", "php 3 0[01]?", "php license(?: version)? 3(?: 0[01]?)?", "php"),
-    ("ruby", "ruby", "ruby", "ruby"),
-    ("ofl-1.1", "ofl 1 1(?: rfn| no rfn)?", "(?:sil )?open font license(?: version)? ?(?:1 1)?", "font|ofl"),
-    ("ncsa", "ncsa", "(?:ncsa|university of illinois ncsa open source)", "ncsa"),
-    ("ms-pl", "ms pl", "microsoft public license", "microsoft|ms pl"),
-    ("ms-rl", "ms rl", "microsoft reciprocal license", "microsoft|ms rl"),
-    ("cc0", "cc0 1 0", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?", "cc0|creative commons zero"),
-    ("cc-by", "cc by(?: [1-4] [05])?", "(?:cc by|creative commons attribution)(?: [1-4] [05])?(?: international| unported)?", "cc by|commons attribution"),
-    ("cc-by-sa", "cc by sa(?: [1-4] [05])?", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?(?: international| unported)?", "cc by|commons attribution"),
-    ("cc-by-nd", "cc by nd(?: [1-4] [05])?", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: [1-4] [05])?(?: international| unported)?", "cc by|commons attribution"),
-    ("cc-by-nc", "cc by nc(?: [1-4] [05])?", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?(?: international| unported)?", "cc by|commons attribution"),
-    ("cc-by-nc-sa", "cc by nc sa(?: [1-4] [05])?", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?(?: international| unported)?", "cc by|commons attribution"),
-    ("cc-by-nc-nd", "cc by nc nd(?: [1-4] [05])?", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: [1-4] [05])?(?: international| unported)?", "cc by|commons attribution"),
-    ("gfdl-1.3", "gfdl 1 3(?: only| or later)?", "(?:gfdl|gnu free documentation license)(?: version)? ?(?:1 [1-3])?", "gfdl|free documentation"),
-    ("odbl-1", "odbl 1 0", "(?:odbl|open (?:data commons open )?database license)(?: 1 0)?", "odbl|database license"),
-    ("public-domain", "public domain", "(?:in|into|to) the public domain", "public domain"),
-    ("all-rights-reserved", "proprietary", "all rights reserved", "rights reserved|proprietary"),
-)
-#: How a license is stated, with {id} and {name}; then priority (the lower goes first), confidence and words in all that match.
-FORMS: tuple[tuple[str, int, float, str], ...] = (
-    ("spdx license identifier {id}", 1, 1.0, " spdx license identifier "),
-    ("(?:licensed|licenced|released|distributed|published|provided|available|covered) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{name}(?: licen[cs]e)?", 2, 0.95, " under "),
-    ("(?:license|licence|licenses) {id}(?: license)?", 3, 0.9, " licen"),
-    ("under (?:the )?(?:terms of (?:the )?)?{name} licen[cs]e", 3, 0.9, " under "),
-    ("{name} licen[cs]e(?: agreement)?", 4, 0.8, " licen"),
-    ("(?:opensource|spdx|creativecommons|gnu|apache|mozilla|eclipse) org licen[cs]es? {id}", 2, 0.95, " org licen"),
-)
-#: Names that say it all by themselves; the others need a form around them.
-ALONE = frozenset(("apache-2", "gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3", "mpl-2", "epl-2", "cc0", "cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "bsd-2-clause", "bsd-3-clause", "boost-1", "ofl-1.1", "public-domain", "all-rights-reserved"))
-
-
-def signature_rules() -> tuple[Rule, ...]:
-    out = []
-    for label, spdx, name, keywords in FAMILIES:
-        gate = tuple(keywords.split("|"))
-        for form, priority, confidence, fixed in FORMS:
-            out.append(Rule(label, gate, form.format(id=spdx, name=name), priority, confidence, fixed))
-        if label in ALONE:
-            out.append(Rule(label, gate, name, 5, 0.6))
-    return tuple(out)
-
-
 def phrase_rules(phrases: dict[str, str]) -> tuple[Rule, ...]:
     return tuple(Rule(label, (phrase,), phrase, 0, 0.9) for phrase, label in phrases.items())
 
@@ -149,10 +64,10 @@ def _places(line: Column, pattern: Column) -> Column:
 
 
 def _hits(line: Column, rules: tuple[Rule, ...]) -> Column:
-    table = F.from_json(F.lit(json.dumps([asdict(r) for r in rules])), "array<struct<label:string,keywords:array<string>,pattern:string,priority:int,confidence:double,fixed:string>>")
+    table = F.from_json(F.lit(json.dumps([asdict(r) for r in rules])), "array<struct<label:string,keywords:array<string>,pattern:string,priority:int,confidence:double>>")
     words = sorted({w for r in rules for w in r.keywords})
     there = F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda k: line.contains(k))
-    gated = let(there, lambda own: F.when(F.size(own) > 0, F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.array_contains(own, k)) & line.contains(r["fixed"]))).otherwise(F.filter(table, lambda r: F.lit(False))))
+    gated = let(there, lambda own: F.when(F.size(own) > 0, F.filter(table, lambda r: F.arrays_overlap(r["keywords"], own))).otherwise(F.filter(table, lambda r: F.lit(False))))
     each = F.transform(gated, lambda r: F.transform(_places(line, r["pattern"]), lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence"))))
     return F.flatten(each)
 
