@@ -12,10 +12,16 @@ Any id is found from its number alone: its block is number // block_ids, so a re
 the tail, the footer and just the blocks that it needs.
 
 Documents go to shards by ranges of doc_id, so the shards in order hold them in ascending
-order (null ids first, rows of one id by text). Shards are written by the executors under
+order (null ids first, rows of one id by text). There are as many shards as the session has shuffle partitions, and more
+for tables of more text than SHARD_BYTES for each, so that a shard doesn't grow with the table. Shards
+are written by the executors under
 the shared folder, each to a name of its own attempt and then renamed, so that a repeated
-task leaves the same file. Edge cases: a null or empty text gives the end id alone; no
-documents give no shards and no rows.
+task leaves the same file. Special tokens that a text spells out are special tokens, as in the library, or
+ordinary text with ``special_as_text``.
+
+Edge cases: a null or empty text gives the end id alone; repeated rows are written once for each; rows alike in
+id and text are ties in the order, which changes nothing in the files; a very long text is encoded whole, its ids go to blocks as any; no documents give no
+shards and no rows; all columns but the id and the text are dropped, so that none can clash with the result's.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +51,7 @@ BLOCK_IDS = 1 << 16
 #: Units whose ids a worker keeps; beyond it the store starts anew.
 CACHE_UNITS = 1_000_000
 CHUNK_BYTES = 4 << 20
+SHARD_BYTES = 256 << 20
 
 #: White space other than the plain space and the line feed; with it, a text is encoded whole.
 _ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
@@ -75,7 +83,7 @@ class Encoder:
     unit is encoded by the library when it is first met, and its ids are kept in a bounded store.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -84,7 +92,7 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         # a byte-level token has a character for each byte
         self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.vocabulary)])
-        self.special = [str(t) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = () if special_as_text else [str(t) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._empty()
 
     def _empty(self) -> None:
@@ -132,6 +140,9 @@ class Encoder:
         """Ids of each text; null is empty."""
         values = texts.to_pylist()
         whole = [i for i, t in enumerate(values) if t and (_ODD.search(t) or any(s in t for s in self.special))]
+        if whole:
+            at = set(whole)
+            texts = pa.array([None if i in at else t for i, t in enumerate(values)], pa.string())
         buf, begin = text_bytes(texts)
         end = np.append(begin[1:], len(buf)) - 1  # where the blank after each text stands
         blank = (buf == 0x20) | (buf == 0x0A)
@@ -140,8 +151,14 @@ class Encoder:
         opens[end] = False
         opens[begin[begin < end]] = True
         starts = np.flatnonzero(opens)
-        if not len(starts):
-            return [np.zeros(0, dtype=np.uint32) for _ in values]
+        out = [np.zeros(0, dtype=np.uint32) for _ in values]
+        if len(starts):
+            out = self._by_units(buf, begin, end, starts)
+        for i, own in zip(whole, self._ask([values[i] for i in whole]), strict=True):
+            out[i] = np.array(own, dtype=np.uint32)
+        return out
+
+    def _by_units(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         hashes = hash_runs(buf, starts, end)
         distinct, where, of = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.number) + len(distinct) > CACHE_UNITS:
@@ -157,27 +174,26 @@ class Encoder:
         total = np.concatenate(([0], np.cumsum(n)))
         ids = self.pool[np.arange(total[-1]) + np.repeat(self.begin[unit] - total[:-1], n)]
         cut = total[np.searchsorted(starts, np.append(begin, len(buf)))]
-        out = [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        for i, own in zip(whole, self._ask([values[i] for i in whole]), strict=True):
-            out[i] = np.array(own, dtype=np.uint32)
-        return out
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    return _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    key = (path, special_as_text)
+    return _encoders.get(key) or _encoders.setdefault(key, Encoder(*key))
 
 
 class ShardWriter:
     def __init__(self, out, bits: int, block_ids: int = BLOCK_IDS) -> None:
         self.out, self.bits, self.block_ids = out, bits, block_ids
         self.rest, self.n_rest, self.at = [], 0, [0]
-        self.docs, self.starts = [], [0]
+        self.docs, self.known, self.starts = array("q"), bytearray(), array("q", [0])
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
+        self.docs.append(doc_id or 0)
+        self.known.append(doc_id is not None)
         self.starts.append(self.starts[-1] + len(ids))
         self.rest.append(ids)
         self.n_rest += len(ids)
@@ -196,7 +212,7 @@ class ShardWriter:
     def close(self) -> None:
         if self.n_rest:
             self._block(np.concatenate(self.rest))
-        self.out.write(np.array([d or 0 for d in self.docs], dtype="<i8").tobytes() + np.array([d is not None for d in self.docs], dtype=np.uint8).tobytes())
+        self.out.write(np.array(self.docs, dtype="<i8").tobytes() + bytes(self.known))
         self.out.write(np.array(self.starts, dtype="<u8").tobytes() + np.array(self.at, dtype="<u8").tobytes())
         self.out.write(TAIL.pack(self.bits, self.block_ids, len(self.docs), len(self.at) - 1, MAGIC))
 
@@ -247,13 +263,15 @@ MANIFEST = "shard int, path string, n_docs long, n_ids long"
 ENTRIES = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, doc_id: str = "doc_id", text: str = "text", shards: int | None = None) -> list[tuple[int, str, int, int]]:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, doc_id: str = "doc_id", text: str = "text", shards: int | None = None, special_as_text: bool = False) -> list[tuple[int, str, int, int]]:
     """Encode docs and write shards below path; gives the manifest, a row for each shard: number, path, documents, ids."""
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    size = 0 if shards else rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, writer, task = encoder(tokenizer), None, TaskContext.get()
+        enc, writer, task = encoder(tokenizer, special_as_text), None, TaskContext.get()
         fs, base = pyarrow.fs.FileSystem.from_uri(path)
         name, own = f"{base}/{task.partitionId():06d}.tokens", f"{base}/.{uuid.uuid4().hex}"
         for batch in sized_batches(batches, CHUNK_BYTES):
@@ -269,7 +287,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, doc
             fs.move(own, name)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "path": [name], "n_docs": [len(writer.docs)], "n_ids": [writer.starts[-1]]})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return sorted(tuple(r) for r in rows.mapInArrow(write, MANIFEST).collect())
 
 

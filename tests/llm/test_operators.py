@@ -338,21 +338,46 @@ def test_components(spark):
 # tokens
 
 
-def test_token_output(docs, rows, empty, odd):
+def test_token_output(spark, docs, rows, empty, odd):
     import zlib
 
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
+    path = public.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    more = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b", "<|endoftext", "x\ty <|endoftext|>\n"]
+    rows = [*rows, *((1000 + i, t) for i, t in enumerate(more))]
     start, want = 0, {}
     for d, t in rows:
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         want[d] = (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
         start += len(ids)
-    assert by_id(tokens.token_output(docs, public.path("byte_bpe_50k.json"), end_id=2), "start", "n_tokens", "ids_crc32") == want
-    assert tokens.token_output(empty, public.path("byte_bpe_50k.json"), end_id=2).count() == 0
-    assert tokens.token_output(odd, public.path("byte_bpe_50k.json"), end_id=2).orderBy("start").first().doc_id is None
+    # columns named like those of the result, and like the row itself
+    docs = docs.unionByName(spark.createDataFrame(rows[-len(more) :], "doc_id long, text string"), allowMissingColumns=True).withColumn("start", F.lit("x")).withColumn("n_tokens", F.lit(0))
+    got = tokens.token_output(docs, path, end_id=2)
+    assert by_id(got, "start", "n_tokens", "ids_crc32") == want and got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert tokens.token_output(empty, path, end_id=2).count() == 0
+    assert tokens.token_output(odd, path, end_id=2).orderBy("start").first().doc_id is None and tokens.token_output(odd, path, end_id=2).count() == 9
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    enc = tokens.Encoder(path, special_as_text=True)
+    assert [x.tolist() for x in enc.encode(pa.array(more))] == [plain.encode(t, add_special_tokens=False).ids for t in more]
+
+
+def test_units_are_independent():
+    """Random strings of awkward characters give the library's ids."""
+    from tokenizers import Tokenizer
+
+    path, rng = public.path("byte_bpe_50k.json"), random.Random(11)
+    library, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    texts = ["".join(rng.choice([" ", "  ", "\n", "\n\n", "\t", "a", "the", "'s", "'", "1", "23", "!", "--", "é", "ß", "日本", "🎉", "\u00a0", "\u2003", "<|endoftext|>", "_", "Wo"]) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    assert [x.tolist() for x in enc.encode(pa.array(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_shards_by_bytes(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "SHARD_BYTES", 4000)
+    manifest = tokens.write_tokens(docs, f"file://{tmp_path}/t", public.path("byte_bpe_50k.json"), end_id=2)
+    assert len(manifest) > 8 and sum(m[2] for m in manifest) == docs.count()
 
 
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17])
