@@ -203,6 +203,26 @@ def test_decontaminate_items_without_id(spark, block):
     assert got == {1: (12, 1, [], True), 2: (12, 2, ["7"], True), 3: (0, 0, [], False), 4: (24, 2, ["7"], True)}
 
 
+def test_decontaminate_windows_by_brute_force():
+    """Texts of few words, so that blocks, short items and windows meet in all ways."""
+    rng = random.Random(12)
+    for window in (10, 4, 3, 1):
+        items = [(i if i % 5 else None, " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 3 * window)))) for i in range(12)]
+        windows = decontaminate.Windows(items, window)
+        for _ in range(60):
+            words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randrange(1, 40))]
+            want, named = set(), set()
+            for i, t in items:
+                own = t.encode().split()
+                n = min(window, len(own))
+                for j in range(len(own) - n + 1):
+                    at = [k for k in range(len(words) - n + 1) if words[k : k + n] == own[j : j + n]]
+                    want |= {(k, k + n) for k in at}
+                    named |= {i} if at else set()
+            start, end, found = windows.scan(words)
+            assert set(zip(start.tolist(), end.tolist(), strict=True)) == want and found == named
+
+
 # substring dedup
 
 
