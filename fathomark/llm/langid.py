@@ -3,27 +3,33 @@
 Each direction keeps a state h. A byte x and the state give t = tanh(W[x] + h U), whose halves are
 a gate f = (1 + t0) / 2 and a candidate c = t1; the state becomes h + f (c - h). Both states at a
 position give the probabilities of the languages there, so every byte is labelled; a document's
-probabilities are the means over its bytes. Texts are read whole, in segments of ``SEGMENT`` bytes.
+probabilities are the means over its bytes. Every byte of a text is read; states run through ``SEGMENT`` bytes, in
+both directions, and start anew in the next ones, so that segments of all texts go through the network side by side.
 
 The network is trained here, in numpy, by backpropagation through time and Adam, on a bounded
-sample: at most ``rows_per_lang`` labelled rows of each language, those with the smallest hash of
+sample: at most ``rows_per_lang`` labelled ids of each language, those with the smallest hash of
 their id, and from each a piece of ``piece`` characters at a place that the hash chooses. The sample
-does not grow with the table.
+does not grow with the table: the ids of each language are counted, and a bound for the hash, a little above what gives
+enough ids, leaves some thousand rows of a language before any are sorted. More than ``MAX_LANGS`` languages are refused.
 
-Edge cases: a null text, or one without a letter, is ``und`` with score 0; rows with a null id or null
-language are never learned from; without any labelled row every text is ``und``; other columns are
-kept, except those named like an output column, which are replaced.
+Edge cases: a null text, or one without a letter (Unicode category L), is ``und`` with score 0; rows with a null id or null
+language are never learned from; an id given more than once is learned from once (its smallest piece); without any
+labelled row every text is ``und``; where languages are equally probable the first by name is taken; repeated rows are
+judged each by itself; a very long text is one row in memory, its segments a few thousand at a time; an empty table gives
+an empty one; other columns are kept, except those named like an output column, which are replaced.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +39,10 @@ from fathomark.llm.packing import sized_batches
 from fathomark.llm.wordhash import text_bytes
 
 HIDDEN = 12
-SEGMENT = 128
+SEGMENT = 512
+MAX_LANGS = 1000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("label_share", T.DoubleType())])
 
 
@@ -159,7 +166,15 @@ def training_rows(docs: DataFrame, doc_id: str, text: str, lang: str, rows_per_l
     at = F.pmod(F.xxhash64(F.col(f"`{doc_id}`").cast("string"), F.lit(29)), F.greatest(F.length(t) - piece, F.lit(1)).cast("long")) + 1
     rows = docs.where(F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{lang}`").isNotNull() & t.isNotNull())
     rows = rows.select(F.col(f"`{lang}`").alias("lang"), key.alias("key"), F.substr(t, at.cast("int"), F.lit(piece)).alias("piece"))
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("key", "piece"))).where(F.col("_n") <= rows_per_lang).select("lang", "key", "piece")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    # wide enough that a tenth of error in a count, and chance, leave rows_per_lang ids
+    wanted = 1.25 * rows_per_lang + 10 * math.sqrt(rows_per_lang)
+    below = {r.lang: (1 << 63) - 1 if r.n <= wanted else int(wanted / r.n * 2**64) - (1 << 63) for r in counts}
+    bound = F.from_json(F.lit(json.dumps(below)), "map<string,long>")
+    few = rows.where(F.col("key") <= bound[F.col("lang").cast("string")]).groupBy("lang", "key").agg(F.min("piece").alias("piece"))
+    return few.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("_n") <= rows_per_lang).select("lang", "key", "piece")
 
 
 def fit_rows(rows: list[tuple[str, str]], *, hidden: int = HIDDEN, steps: int = 260, batch: int = 512, places: int = 64, rate: float = 0.02, seed: int = 7) -> Network | None:
@@ -202,6 +217,7 @@ def label(network: Network, column: pa.Array, rows: int = 4096) -> tuple[np.ndar
     total = np.zeros((len(lengths), len(network.langs)))
     votes = np.zeros((len(lengths), len(network.langs)))
     place = np.arange(SEGMENT)[:, None]
+    rows = max(64, min(rows, (1 << 23) // (SEGMENT * len(network.langs))))
     for k in range(0, len(of), rows):
         own, at = of[k : k + rows], start[None, k : k + rows] + place
         mask = at < end[None, k : k + rows]

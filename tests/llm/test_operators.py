@@ -502,22 +502,30 @@ def test_language_id(spark, empty):
     rng = random.Random(4)
     words = {"en": "the of and thing with".split(), "fr": "été de les où ça".split(), "de": "der die ß für über".split()}
     rows = [(i, " ".join(rng.choice(words[g]) for _ in range(rng.randrange(3, 60))), g if i % 10 else None) for i, g in enumerate(rng.choices(list(words), k=300))]
-    rows += [(None, "the of", "en"), (900, None, "en"), (901, "", "fr"), (902, "123 !!", "de"), (903, "é" * 5000, None)]
+    rows += [(None, "the of", "en"), (900, None, "en"), (901, "", "fr"), (902, "123 !!", "de"), (904, "½ ² ①", "de"), (905, "ª", "en"), (903, "é" * 5000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     net = langid.train(df, rows_per_lang=80, steps=60, batch=128)
     got = langid.identify(df.withColumn("score", F.lit(9)), net)
     assert got.columns.count("score") == 1
     for r in got.collect():
-        if not r.text or r.doc_id == 902:
+        if not r.text or r.doc_id in (902, 904):
             assert (r.lang_pred, r.score) == ("und", 0.0)
-        elif r.doc_id is not None and r.doc_id < 900:
-            assert 0 < r.score <= 1
+        else:
+            assert 0 < r.score <= 1 and r.lang_pred in words
     right = got.where("doc_id < 900 and lang is not null").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     assert right > 0.97
     assert langid.train(empty) is None and langid.identify(empty, None).count() == 0
     assert langid.train(df, rows_per_lang=80, steps=60, batch=128).weights["V"].tolist() == net.weights["V"].tolist()
 
 
+def test_training_rows_are_bounded(spark):
+    df = spark.range(20000).selectExpr("cast(id as string) as doc_id", "concat('word ', id) as text", "if(id % 10 = 0, 'b', 'a') as lang").unionAll(spark.range(500).selectExpr("'same'", "concat('x', id)", "'c'"))
+    rows = langid.training_rows(df, "doc_id", "text", "lang", 100, 10).collect()
+    assert {g: sum(r.lang == g for r in rows) for g in "abc"} == {"a": 100, "b": 100, "c": 1}
+    keys = [r.key for r in df.where("lang = 'a'").selectExpr("xxhash64(doc_id, 17) as key").orderBy("key").limit(100).collect()]
+    assert sorted(r.key for r in rows if r.lang == "a") == keys
+
+
 # packing and hashes
 
 

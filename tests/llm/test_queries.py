@@ -1,6 +1,7 @@
 """The registered queries and the pipeline, on the smallest tables."""
 
 import os
+import zlib
 
 import duckdb
 import pytest
@@ -29,6 +30,14 @@ def test_oracles(spark, name):
     assert sorted(got.columns) == columns and sorted(tuple(r[c] for c in columns) for r in got.collect()) == rows
 
 
+def test_languages_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    got = queries.op1_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").collect()
+    known = [r for r in got if r.held_out and r.lang is not None and r.lang_pred != "und"]
+    assert len(got) == docs.count() and len(known) > 200 and sum(r.lang == r.lang_pred for r in known) >= 0.97 * len(known)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
