@@ -174,6 +174,48 @@ def test_mined_urls_of_four_tokens(spark):
     assert [(r.tokens, r.confidence) for r in rules] == [(tuple(sorted(f"path:{w}" for w in words)), 1.0)]
 
 
+def _rules_by_brute_force(baskets, share, confidence, lift):
+    """All itemsets counted one by one; of tokens in the same baskets the first of telling kind, then by name."""
+    total, n_bad = len(baskets), sum(b for _, b in baskets)
+    tokens, classes = sorted({t for own, _ in baskets for t in own}, key=lambda t: (t.split(":")[0] not in urls.TELLING, t)), {}
+    for t in tokens:
+        at = frozenset(i for i, (own, _) in enumerate(baskets) if t in own)
+        if share * total <= len(at) < total:
+            classes.setdefault(at, t)
+    level, rules = {(t,): at for at, t in classes.items()}, {}
+    while level:
+        for own, at in level.items():
+            both = sum(baskets[i][1] for i in at)
+            if both >= share * total and both >= confidence * len(at) and both * total >= lift * n_bad * len(at):
+                rules[frozenset(own)] = both / len(at)
+        level = {tuple(sorted((*a, t))): level[a] & at for a in level for at, t in classes.items() if t > a[-1] and len(level[a] & at) >= share * total}
+    return {k: c for k, c in rules.items() if not any(o < k and rules[o] >= c for o in rules)}
+
+
+def test_mined_rules_by_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(600):
+        host, word, keys = rng.choice(["a.com", "b-c.net", "d.org"]), rng.choice(["news", "win", "cash"]), [k for k in ("q", "ref", "id") if rng.random() < 0.5]
+        keys += ["ref2"] if "ref" in keys else []
+        p = 0.9 if word == "win" and "q" in keys else 0.8 if host == "b-c.net" and "ref" in keys else 0.1
+        rows.append((f"http://{host}/{word}?{'&'.join(f'{k}=1' for k in keys)}", rng.random() < p))
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    baskets = [(frozenset(r.t), r.bad) for r in df.select(urls.url_tokens(F.col("url")).alias("t"), "bad").collect()]
+    got = urls.mine_rules(df, min_support=0.02, min_rows=10)
+    want = _rules_by_brute_force(baskets, 0.02, 0.6, 1.5)
+    assert {frozenset(r.tokens): round(r.confidence, 9) for r in got} == {k: round(c, 9) for k, c in want.items()} and len(want) > 3
+    assert not any("key:ref2" in r.tokens for r in got)
+
+
+def test_templates_of_many_keys_are_bounded(spark):
+    keys = [f"k{i}" for i in range(40)]
+    rng = random.Random(2)
+    rows = [(f"http://a.com/x?{'&'.join(f'{k}=1' for k in keys if rng.random() < 0.97)}{'&evil=1' if i % 5 == 0 else ''}", i % 5 == 0) for i in range(300)]
+    got = urls.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"), max_items=8)
+    assert ("key:evil",) in [r.tokens for r in got]
+
+
 # decontamination
 
 ITEMS = [(0, "w1 w2 w3"), (1, None), (2, ""), (3, "!!"), (4, "nothing that is there at all in any of these texts here"), (0, "w1 w2 w3")]
