@@ -5,10 +5,12 @@ hash, counted over all documents) occurs, rare ones first.
 
 1. sets      Every document's set becomes a fingerprint; documents of one set are a class, and
              only its smallest member goes on.
-2. prefixes  Two sets that link share a token among the first n - ceil(t n) + 1 of each, and k of
-             them among the first n - ceil(t n) + k. So a set is indexed by the rare tokens of
-             its prefix, and by all pairs of frequent ones in the prefix longer by one: if
-             the first token shared is frequent, so is the second.
+2. prefixes  Two sets that link share a token among the first n - ceil(t n) + 1 of each. Where it is a rare
+             one, the set is found by it. Where it is frequent, so are all that they share, and two of them
+             that are neighbours in both sets stand among the first 2 (1 - t) n + 2 of each: each token that is in one set
+             alone comes between no more than two shared ones, and there are too few of those. So a
+             set is indexed by the rare tokens of its prefix, and by the pairs of neighbouring
+             frequent ones of the extended prefix; entries grow with the size of a set, not with its square.
 3. stars     The sets found at one index entry with sizes that can link name the smallest of
              them their leader. Entries give pairs (leader, member), never all pairs.
 4. verify    A leader and its members meet at one task, first by the histograms of their sets over
@@ -20,7 +22,11 @@ hash, counted over all documents) occurs, rare ones first.
              each pair of blocks meets.
 5. connect   Components of the links found, by alternating stars.
 
-Edge cases: a text with fewer words than a shingle is one shingle; null and wordless texts have
+Figures for blocks: g blocks of half of ``tokens_each`` make g (g + 1) / 2 jobs, and each set goes to g of them; with 4 million
+tokens to a task, near copies of 400 words come in one block up to some 5000 under one leader, in 20 (so that each set is sent 20
+times) up to 100,000. Sets that the histograms rule out, and exact copies, are not among them.
+
+Edge cases: a text with fewer words than a shingle is one shingle; a very long text is one set in memory; null and wordless texts have
 empty sets and link with nothing; rows alike in id and text are one document; null ids, and
 rows of one id with different texts, are told apart by a key in the order of id and text,
 and a component is named by the id of its smallest key; other columns are kept, except those
@@ -51,6 +57,8 @@ CLASS_BITS = 22
 CHUNK_BYTES = 4 << 20
 #: A class is frequent from this many times the mean of all classes on, or of FLOOR.
 FREQUENT, FLOOR = 8, 64
+#: A class of more copies than this, or than one in so many of all rows, is met by a broadcast: there are no more than so many.
+HOT = 10_000
 #: Tokens of sets that meet at one task.
 TOKENS = 4_000_000
 
@@ -59,6 +67,12 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def extended(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many tokens the extended prefix has: with x and y tokens that only this or only the other set has,
+    100 x + percent y <= (100 - percent) n, so that 2 x + y is no more than 2 (100 - percent) n / 100."""
+    return 2 * (100 - percent) * n // 100 + 2
+
+
 def shingle_sets(batch: pa.RecordBatch, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all rows, and where each row's begin (one more at the end)."""
     buf, begin = text_bytes(batch.column(text))
@@ -196,7 +210,7 @@ def class_levels(counts: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def prefix_entries(tokens: np.ndarray, at: np.ndarray, levels: np.ndarray, frequent: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and key of each index entry: rare tokens, and pairs of frequent ones, of the prefixes."""
+    """Row and key of each index entry: rare tokens, and neighbouring pairs of frequent ones, of the prefixes."""
     level = levels[(tokens >> np.uint64(64 - CLASS_BITS)).astype(np.int64)].astype(np.uint64)
     tokens = (level << np.uint64(56)) | (mix(tokens) >> np.uint64(8))
     for a, b in zip(at[:-1], at[1:], strict=True):
@@ -209,13 +223,12 @@ def prefix_entries(tokens: np.ndarray, at: np.ndarray, levels: np.ndarray, frequ
     often = (tokens >> np.uint64(56)) >= np.uint64(frequent)
     single = ~often & ~few & (rank < np.repeat(longest, n))
     rows, keys = [row[single]], [mix(tokens[single])]
-    started = np.unique(row[often & ~few & (rank < np.repeat(longest, n))])
-    paired = often & ~few & (rank < np.repeat(longest + 1, n))
-    for r in started:
-        own = mix(tokens[at[r] : at[r + 1]][paired[at[r] : at[r + 1]]])
-        i, j = np.triu_indices(len(own), 1)
-        rows.append(np.full(len(i), r))
-        keys.append(mix(own[i] * np.uint64(3) + own[j]))
+    started = np.zeros(len(n), dtype=bool)
+    started[row[often & ~few & (rank < np.repeat(longest, n))]] = True
+    paired = often & np.repeat(started, n) & (rank < np.repeat(extended(n, percent), n))
+    i = np.flatnonzero(paired[:-1] & paired[1:] & (row[:-1] == row[1:])) if len(tokens) else np.zeros(0, dtype=np.int64)
+    rows.append(row[i])
+    keys.append(mix(mix(tokens[i]) * np.uint64(3) + mix(tokens[i + 1])))
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -405,6 +418,8 @@ OUT = ("n_shingles", "component_id", "first_of_component")
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT, tokens_each: int = TOKENS) -> DataFrame:
     """All rows of docs with n_shingles (long), component_id (the smallest id reachable by links) and whether the row is the one so named."""
+    if not 67 <= percent <= 99:
+        raise ValueError("percent from 67 to 99: below, pairs of neighbours may miss links of small sets")
     spark = docs.sparkSession
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (*OUT, KEY)))
     rows = keyed(docs, doc_id, text)
@@ -417,7 +432,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     levels, frequent = class_levels(counts)
     sets = surveyed.where("kind = 1").select("key", "a", "b", "n").distinct()
     full = surveyed.where("kind = 1 and n > 0")
-    classes = full.groupBy("a", "b").agg(F.min("key").alias("rep"))
+    classes = full.groupBy("a", "b").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"))
     shapes = full.groupBy("a", "b").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("data").alias("data"))
 
     n = max(sp, -(-int(counts.sum()) // (10 * tokens_each)))
@@ -445,7 +460,13 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     linked = components(links)
 
     named = classes.join(linked, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
-    labels = sets.join(named, ["a", "b"], "left").select(F.col("key"), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+    # classes of many copies, of which there are few, meet their rows without a shuffle; empty sets have no class to meet
+    hot = max(HOT, full.count() // HOT)
+    many = F.broadcast(classes.where(F.col("copies") > hot).select("a", "b", "rep").join(linked, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("many")))
+    sets = sets.join(many, ["a", "b"], "left")
+    alone = F.col("many").isNotNull() | (F.col("n") == 0)
+    sets = sets.select("key", "n", "many", F.when(alone, F.col("key")).otherwise(F.col("a")).alias("a"), F.when(~alone, F.col("b")).alias("b"))
+    labels = sets.join(named, ["a", "b"], "left").select(F.col("key"), F.col("n").alias("n_shingles"), F.coalesce("many", "component", "key").alias("component_id"))
     labels = labels.withColumn("first_of_component", F.col("component_id") == F.col("key"))
     result = rows.join(labels, F.col(KEY) == F.col("key")).drop("key")
     ids = rows.select(F.col(KEY).alias("_k"), F.col(f"`{doc_id}`").cast("long").alias("_id")).where("_id is null or _id <> _k")

@@ -364,6 +364,51 @@ def test_jaccard_odd_ids(odd, empty):
     assert all(r.component_id is None for r in got if r.text and r.text.startswith("p") and "q" not in r.text)
 
 
+def test_prefixes_lose_no_link():
+    """Sets over few classes, all frequent, some or none: any two that link share an entry."""
+    rng = np.random.default_rng(5)
+    for percent in (67, 80, 90, 95):
+        for often in (0, 30, 200):
+            base = np.unique(rng.integers(0, 1 << 62, 160, dtype=np.int64).astype(np.uint64))
+            sets = []
+            for _ in range(120):
+                own = base[: rng.choice([12, 40, 80, len(base)])].copy()
+                own = own[rng.random(len(own)) > rng.choice([0, 0.02, 0.05, 0.1])]
+                sets.append(np.unique(np.concatenate((own, rng.integers(0, 1 << 62, rng.integers(0, 1 + len(own) // 8), dtype=np.int64).astype(np.uint64)))))
+            levels = np.where(np.arange(1 << jaccard.CLASS_BITS) % 200 < often, 200, 10).astype(np.uint8)
+            tokens, at = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+            entry, key = jaccard.prefix_entries(tokens.copy(), at, levels, 100, percent)
+            keys = [set(key[entry == i].tolist()) for i in range(len(sets))]
+            linked = 0
+            for i in range(len(sets)):
+                for j in range(i):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) and not np.array_equal(sets[i], sets[j]):
+                        linked += 1
+                        assert keys[i] & keys[j], (percent, often, len(sets[i]), len(sets[j]), both)
+            assert linked > 5
+
+
+def test_jaccard_of_very_long_texts(spark):
+    words = [f"w{k % 5000}x{k // 7}" for k in range(200_000)]
+    rows = [(i, " ".join(words[: 200_000 - 40 * i])) for i in range(3)] + [(9, " ".join(words[100_000:]))]
+    levels = np.full(1 << jaccard.CLASS_BITS, 200, dtype=np.uint8)
+    own = pa.RecordBatch.from_pydict({"text": [rows[0][1]]})
+    tokens, at = jaccard.shingle_sets(own, "text", 3)
+    entry, _ = jaccard.prefix_entries(tokens, at, levels, 100, 90)
+    assert len(entry) <= jaccard.extended(np.diff(at), 90)[0]
+    got = by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")), "component_id")
+    assert got == {0: (0,), 1: (0,), 2: (0,), 9: (9,)}
+
+
+def test_jaccard_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 5)
+    a = " ".join(f"a{k}" for k in range(40))
+    rows = [(i, a) for i in range(10, 60)] + [(i, None if i % 2 else " ") for i in range(60, 90)] + [(3, a + " more"), (95, "b c d"), (96, "b c d")]
+    got = by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id")
+    assert got == brute.jaccard(rows)
+
+
 def test_links_and_bounds():
     rng = np.random.default_rng(2)
     for _ in range(30):
