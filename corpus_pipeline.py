@@ -19,9 +19,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; of rows that are alike in all columns, one."""
+    """Of each group of near duplicates the document with the smallest id stays; of rows alike in id and text, that whose other columns sort first."""
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.distinct()
+        others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+        once = docs.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *others)).alias("_o"))
+        docs = once.select(*(c if c in ("doc_id", "text") else F.col(f"_o.`{c}`") for c in docs.columns))
     found = jaccard.jaccard_components(docs, width=5, percent=80)
     return found.where("first_of_component").select(*docs.columns)
 
