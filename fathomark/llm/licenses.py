@@ -3,7 +3,7 @@
 A text becomes words (A-Z lowered, runs of letters, digits and whatever is not ASCII) joined by one
 space. The signature rules (``license_rules``) are regular expressions over that line, each with keywords, a priority, a
 label and a confidence. Rules of which the line contains a keyword are run; one of them stands in whatever a
-rule matches, so that no match is lost. Every match is an interval of words. An interval
+rule matches, so that no match is lost (keywords are looked for by a stem that several share, first). Every match is an interval of words. An interval
 that lies within another that is longer, or alike and of higher priority, is suppressed; the labels
 of those left are the text's, along with those of the phrases asked for, which are always kept.
 All is built from DataFrame functions.
@@ -63,10 +63,25 @@ def _places(line: Column, pattern: Column) -> Column:
     return F.when(F.regexp_like(line, whole), let(found, of)).otherwise(none)
 
 
+def stems_of(keywords: set[str]) -> dict[str, list[str]]:
+    """Few words that cover all keywords: each keyword by a word in it, one that covers the most; words as short as "of" only where nothing else is left."""
+    left, out = set(keywords), {}
+    while left:
+        count: dict[str, int] = {}
+        for k in left:
+            for w in {w for w in k.split() if len(w) > 2} or set(k.split()):
+                count[w] = count.get(w, 0) + 1
+        best = max(count, key=lambda w: (count[w], len(w), w))
+        out[best] = sorted(k for k in left if best in k)
+        left.difference_update(out[best])
+    return out
+
+
 def _hits(line: Column, rules: tuple[Rule, ...]) -> Column:
     table = F.from_json(F.lit(json.dumps([asdict(r) for r in rules])), "array<struct<label:string,keywords:array<string>,pattern:string,priority:int,confidence:double>>")
-    words = sorted({w for r in rules for w in r.keywords})
-    there = F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda k: line.contains(k))
+    stems = stems_of({w for r in rules for w in r.keywords})
+    tree = F.from_json(F.lit(json.dumps([{"stem": k, "words": v} for k, v in stems.items()])), "array<struct<stem:string,words:array<string>>>")
+    there = F.flatten(F.transform(F.filter(tree, lambda s: line.contains(s["stem"])), lambda s: F.filter(s["words"], lambda k: line.contains(k))))
     gated = let(there, lambda own: F.when(F.size(own) > 0, F.filter(table, lambda r: F.arrays_overlap(r["keywords"], own))).otherwise(F.filter(table, lambda r: F.lit(False))))
     each = F.transform(gated, lambda r: F.transform(_places(line, r["pattern"]), lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence"))))
     return F.flatten(each)
