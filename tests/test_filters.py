@@ -14,7 +14,7 @@ from fathomark.plans.compile import EntityColumns, compile_filter
 from fathomark.plans.expand import like_pattern, valid_pattern
 from fathomark.plans.filters import OPERATORS, Coercion, Filter, Source, condition_to_filter, lookup_operator, normalise_path, operator_names, validate_operators
 from fathomark.sources.entities import declared
-from tests.plain import leaf, load, lookup
+from tests.plain import leaf, load, lookup, matches
 
 I, L, S, DBL, BD, UD, UI = D.INTEGER, D.LONG, D.STRING, D.DOUBLE, D.BIG_DECIMAL, D.UNBOUND_DECIMAL, D.UNBOUND_INTEGER
 UUID1, UUID4 = "6ba7b810-9dad-11d1-80b4-00c04fd430c8", "f47ac10b-58cc-4372-a567-0e02b2c3d479"
@@ -29,18 +29,18 @@ LEAVES = [
     ("eq", "a", (S,), '"a"', True), ("gt", "a", (S,), '"b"', True), ("lt", "é", (S,), '"z"', True), ("eq", "1", (S,), "1", False), ("eq", "x", (I,), "1", False), ("eq", "x", (D.CHARACTER,), '"x"', True), ("gt", "x", (D.CHARACTER,), '"yy"', False),
     ("eq", "true", (D.BOOLEAN,), "true", True), ("ne", "true", (D.BOOLEAN,), "false", True), ("gt", "true", (D.BOOLEAN,), "true", False), ("eq", "True", (D.BOOLEAN,), "true", False),
     ("eq", UUID4, (D.UUID_TYPE,), f'"{UUID4.upper()}"', True), ("eq", UUID4, (D.UUID_TYPE,), f'"{{{UUID4}}}"', True), ("ne", UUID4, (D.UUID_TYPE,), '"nope"', False), ("eq", UUID4, (D.TIME_UUID_TYPE,), f'"{UUID4}"', False), ("eq", UUID1, (D.TIME_UUID_TYPE,), f'"urn:uuid:{UUID1}"', True),
-    ("gte", "2024-09-09", (D.YEAR,), '"2024"', False), ("gte", "2024-09-09", (D.YEAR,), '"2025"', True), ("eq", "2024-09-09", (D.YEAR,), '"2024"', False), ("lt", "2024-09-09", (D.YEAR,), '"2024"', True),
-    ("eq", "2024", (D.LOCAL_DATE,), '"2024-01-01"', True), ("gte", "2024-01-01T00:00Z", (D.ZONED_DATE_TIME,), '"2024-01-01T02:00:00+02:00"', True), ("eq", "2024-01-01T00:00:00Z", (D.LOCAL_DATE_TIME,), '"2024-01-01T00:00:00Z"', False),
-    ("eq", "2024-01-01T00:00:00Z", (D.LOCAL_DATE_TIME,), '"2024-01-01T00:00"', True), ("eq", "10:30", (D.LOCAL_TIME,), '"10:30:00"', True), ("lt", "2024-06", (D.YEAR_MONTH,), '"2024-05"', True), ("eq", "2024-02-30", (D.LOCAL_DATE,), '"2024-02-30"', False),
-    ("eq", "2024", (D.YEAR, S), '"2024"', True), ("eq", "30", (I, S), '"30"', True), ("ne", "30", (I, S), '"31"', True), ("eq", "[1]", (D.BYTE_ARRAY,), '"[1]"', False),
-    ("contains", "li", (), '"Alice"', True), ("contains", "", (), '""', True), ("not_contains", "x", (), '"Alice"', True), ("not_contains", "x", (), "null", False), ("not_contains", "x", (), "5", False), ("starts_with", "Al", (), '"Alice"', True), ("not_starts_with", "Al", (), '"Bob"', True),
-    ("ends_with", "ce", (), '"Alice"', True), ("not_ends_with", "ce", (), '"Alice"', False), ("ieq", "aLiCE", (), '"Alice"', True), ("ieq", "k", (), '"\\u212a"', True), ("ine", "alice", (), '"Alice"', False), ("icontains", "LIC", (), '"Alice"', True), ("inot_contains", "LIC", (), '"Alice"', False),
-    ("istarts_with", "AL", (), '"alice"', True), ("inot_starts_with", "AL", (), '"bob"', True), ("iends_with", "CE", (), '"alice"', True), ("inot_ends_with", "CE", (), '"bob"', True), ("ieq", "a\\E.b", (), '"A\\\\E.B"', True),
-    ("like", "A%e", (), '"Alice"', True), ("like", "A_ice", (), '"Alice"', True), ("like", "a%", (), '"Alice"', False), ("like", "A%", (), '"A\\nb"', False), ("like", "100\\\\%", (), '"100%"', False), ("like", "100\\%", (), '"100%"', True), ("like", "a.c", (), '"abc"', False), ("like", "", (), '""', True), ("like", "\\d%", (), '"5x"', True), ("like", "abc\\", (), '"abc"', False),
-    ("matches", "A[a-z]+", (), '"Alice"', True), ("matches", "lic", (), '"Alice"', False), ("matches", "(", (), '"("', False), ("matches", "(?=A).*", (), '"A"', False), ("matches", "a|b", (), '"b"', True),
+    ("gte", "2031-05-17", (D.YEAR,), '"2031"', False), ("gte", "2031-05-17", (D.YEAR,), '"2032"', True), ("eq", "2031-05-17", (D.YEAR,), '"2031"', False), ("lt", "2031-05-17", (D.YEAR,), '"2031"', True),
+    ("eq", "2031", (D.LOCAL_DATE,), '"2031-01-01"', True), ("gte", "2031-01-01T00:00Z", (D.ZONED_DATE_TIME,), '"2031-01-01T02:00:00+02:00"', True), ("eq", "2031-01-01T00:00:00Z", (D.LOCAL_DATE_TIME,), '"2031-01-01T00:00:00Z"', False),
+    ("eq", "2031-01-01T00:00:00Z", (D.LOCAL_DATE_TIME,), '"2031-01-01T00:00"', True), ("eq", "10:30", (D.LOCAL_TIME,), '"10:30:00"', True), ("lt", "2031-08", (D.YEAR_MONTH,), '"2031-05"', True), ("eq", "2031-02-30", (D.LOCAL_DATE,), '"2031-02-30"', False),
+    ("eq", "2031", (D.YEAR, S), '"2031"', True), ("eq", "30", (I, S), '"30"', True), ("ne", "30", (I, S), '"31"', True), ("eq", "[1]", (D.BYTE_ARRAY,), '"[1]"', False),
+    ("contains", "ag", (), '"Magda"', True), ("contains", "", (), '""', True), ("not_contains", "x", (), '"Magda"', True), ("not_contains", "x", (), "null", False), ("not_contains", "x", (), "5", False), ("starts_with", "Ma", (), '"Magda"', True), ("not_starts_with", "Ma", (), '"Bob"', True),
+    ("ends_with", "da", (), '"Magda"', True), ("not_ends_with", "da", (), '"Magda"', False), ("ieq", "mAgDA", (), '"Magda"', True), ("ieq", "k", (), '"\\u212a"', True), ("ine", "magda", (), '"Magda"', False), ("icontains", "AGD", (), '"Magda"', True), ("inot_contains", "AGD", (), '"Magda"', False),
+    ("istarts_with", "MA", (), '"magda"', True), ("inot_starts_with", "MA", (), '"bob"', True), ("iends_with", "DA", (), '"magda"', True), ("inot_ends_with", "DA", (), '"bob"', True), ("ieq", "a\\E.b", (), '"A\\\\E.B"', True),
+    ("like", "M%a", (), '"Magda"', True), ("like", "M_gda", (), '"Magda"', True), ("like", "a%", (), '"Magda"', False), ("like", "A%", (), '"A\\nb"', False), ("like", "100\\\\%", (), '"100%"', False), ("like", "100\\%", (), '"100%"', True), ("like", "a.c", (), '"abc"', False), ("like", "", (), '""', True), ("like", "\\d%", (), '"5x"', True), ("like", "abc\\", (), '"abc"', False),
+    ("matches", "M[a-z]+", (), '"Magda"', True), ("matches", "agd", (), '"Magda"', False), ("matches", "(", (), '"("', False), ("matches", "(?=A).*", (), '"A"', False), ("matches", "a|b", (), '"b"', True),
     ("is_null", None, (), None, True), ("is_null", None, (), "null", True), ("is_null", None, (), '""', False), ("not_null", None, (), "[]", True), ("not_null", None, (), "{}", True), ("not_null", None, (), None, False),
     ("between", ["1", "3"], (I,), "2", True), ("between", ["1", "3"], (I,), "1", False), ("between_inclusive", ["1", "3"], (I,), "3.0", True), ("between_inclusive", ["1.5", "2.5"], (I,), "2", True), ("between", ["a", "c"], (S,), '"b"', True), ("between", ["1", "3"], (I,), '"2"', False), ("between", ["1"], (I,), "2", False),
-    ("between_inclusive", ["2024-01-01", "2024-02-01"], (D.LOCAL_DATE,), '"2024-01-15"', True), ("between_inclusive", ["2024", "2025"], (D.LOCAL_DATE,), '"2024-01-01"', True), ("between", ["2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z"], (D.LOCAL_DATE,), '"2024-01-15"', True),
+    ("between_inclusive", ["2031-01-01", "2031-02-01"], (D.LOCAL_DATE,), '"2031-01-15"', True), ("between_inclusive", ["2031", "2032"], (D.LOCAL_DATE,), '"2031-01-01"', True), ("between", ["2031-01-01T00:00:00Z", "2031-02-01T00:00:00Z"], (D.LOCAL_DATE,), '"2031-01-15"', True),
 ]
 
 
@@ -66,35 +66,72 @@ def test_leaves(spark):
         want.append(expected)
     wrong = [(LEAVES[i], got) for i, got in enumerate(evaluate(spark, cases)) if got != want[i]]
     assert not wrong, wrong
-
-
-DOCS = [
-    '{"name":"Alice","qty":30,"price":12.78,"flag":true,"when":"2024-01-01T00:00:00Z","nested":{"inner":"deep","2":"two"},"list":[1,"b",{"x":5}]}',
-    '{"name":"alice","qty":31,"price":-5,"flag":false,"when":"2024-06-01"}',
-    '{"name":"","qty":0,"price":0.0,"when":"2024"}',
-    '{"name":"n\\u00e3o","qty":9223372036854775807,"when":"2024-01-01T00:00:00+02:00"}',
-    '{"name":null,"qty":null}',
-    "{}",
-    '{"name":30,"qty":"30","price":1e10}',
-    '{"name":["Alice","Bob"],"qty":[1,2],"when":"10:30"}',
-]
-PATHS = ["name", "qty", "price", "flag", "when", "missing", "nested.inner", "nested.2", "list.0", "list.1", "list.2.x", "qty.0"]
-OPERANDS = ["30", "30.0", "31", "-5", "12.78", "0", "1e10", "5e9", "9223372036854775807", "Alice", "alice", "", "a", "true", "false", "2024", "2024-01-01", "2024-06", "2024-01-01T00:00:00Z", "2024-01-01T00:00", "10:30", "deep", "%li%", "A_ice"]
-TYPES = [(I,), (L,), (DBL,), (UD,), (UI,), (S,), (D.BOOLEAN,), (D.LOCAL_DATE,), (D.ZONED_DATE_TIME,), (D.YEAR,), (D.LOCAL_TIME,), (I, S), (D.YEAR, D.LOCAL_DATE, S), (L, DBL), ()]
-
-
-def test_random_leaves(spark):
-    rng = random.Random(11)
-    cases, want = [], []
-    for _ in range(360):
-        op, path, doc, types = rng.choice(list(OPERATORS.values())), rng.choice(PATHS), rng.choice(DOCS), rng.choice(TYPES)
-        values = (rng.choice(OPERANDS), rng.choice(OPERANDS)) if op.startswith("between") else None
-        operand = None if values else rng.choice(OPERANDS)
-        cases.append((Filter(op, path, Source.DATA, operand, values, types), doc))
-        want.append(leaf(op, operand, types, lookup(load(doc), path), list(values) if values else None))
-    got = evaluate(spark, cases)
-    wrong = [(c, w, g) for c, w, g in zip(cases, want, got, strict=True) if w != g]
-    assert not wrong, wrong[:5]
+    for (op, operand, types, stored, expected), (_, doc) in zip(LEAVES, cases, strict=True):
+        values = operand if isinstance(operand, list) else None
+        assert leaf(op, operand, types, lookup(load(doc), "v"), values) == expected, (op, operand, types, stored)
+
+
+class Shelf:
+    """Documents and filters over them, drawn from a seed: a parcel with a code, a weight, a date, marks and a depot."""
+
+    NUMBERS = ("41", "41.0", "40", "-17", "8.5", "8.25", "2147483647", "2147483648", "-2147483649", "0.125", "123456789012345678", "1e3", "1e20", "0.12345678901234567", "-0.5", "99999999999999999999")
+    TEXTS = ("Birk", "birk", "Oslo kommune", "ba%k", "", "x", "Ørsted", "41", "true", "c0ffee00-1234-4abc-8def-000000000001", "C0FFEE00-1234-4ABC-8DEF-000000000001", "two\nlines")
+    TIMES = ("1999", "2031", "2031-05", "2031-05-17", "2031-01-01", "2031-05-17T08:15", "2031-05-17T08:15:30.250", "2031-05-17T08:15:30Z", "2031-05-17T10:15:30+02:00", "2031-01-01T00:00:00Z", "08:15", "23:59:59.5")
+    PATTERNS = ("B%", "%k", "_irk", "ba\\%k", "[A-Z][a-z]+", "birk|Birk", "(", ".*", "%lines", "\\d+")
+    PATHS = ("code", "weight", "due", "paid", "nothing", "depot.zone", "depot.7", "marks.0", "marks.1", "marks.2.deep", "weight.0")
+    TYPES = ((I,), (L,), (DBL,), (BD,), (UD,), (UI,), (S,), (D.CHARACTER,), (D.BOOLEAN,), (D.UUID_TYPE,), (D.LOCAL_DATE,), (D.ZONED_DATE_TIME,), (D.LOCAL_DATE_TIME,), (D.YEAR,), (D.YEAR_MONTH,), (D.LOCAL_TIME,), (I, S), (D.YEAR, D.LOCAL_DATE, S), (L, DBL), (I, BD, D.BOOLEAN), ())
+    META = {"id": "id", "state": "state", "model_name": "model_name", "transitionForLatestSave": "transition", "nowhere": None}
+
+    def __init__(self, seed):
+        self.rng = random.Random(seed)
+
+    def scalar(self):
+        kind = self.rng.random()
+        return self.rng.choice(self.NUMBERS) if kind < 0.35 else json.dumps(self.rng.choice(self.TEXTS)) if kind < 0.6 else json.dumps(self.rng.choice(self.TIMES)) if kind < 0.85 else self.rng.choice(("true", "false", "null", "[]", "{}"))
+
+    def document(self):
+        pick = self.rng.random
+        members = {name: self.scalar() for name in ("code", "weight", "due", "paid") if pick() < 0.9}
+        if pick() < 0.7:
+            members["depot"] = "{" + ",".join(f'"{k}":{self.scalar()}' for k in ("zone", "7") if pick() < 0.8) + "}"
+        if pick() < 0.7:
+            members["marks"] = "[" + ",".join([self.scalar() for _ in range(self.rng.randrange(3))] + ([f'{{"deep":{self.scalar()}}}'] if pick() < 0.5 else [])) + "]"
+        return "{" + ",".join(f'"{k}":{v}' for k, v in members.items()) + "}"
+
+    def operand(self, op):
+        return self.rng.choice(self.PATTERNS if op in ("like", "matches") and self.rng.random() < 0.8 else (*self.NUMBERS, *self.TEXTS, *self.TIMES))
+
+    def filter(self, depth=2):
+        if depth and self.rng.random() < 0.45:
+            return Filter(self.rng.choice(("and", "or")), children=tuple(self.filter(depth - 1) for _ in range(self.rng.randrange(4))))
+        op, meta = self.rng.choice(list(OPERATORS.values())), self.rng.random() < 0.15
+        path, types = (self.rng.choice(list(self.META)), (S,)) if meta else (self.rng.choice(self.PATHS), self.rng.choice(self.TYPES))
+        values = (self.operand(op), self.operand(op)) if op.startswith("between") else None
+        return Filter(op, path, Source.META if meta else Source.DATA, None if values else self.operand(op), values, types)
+
+    def row(self, k):
+        return (f"p{k}", self.rng.choice(("Birk", "open", "", None)), "parcel", self.rng.choice(("41", None, "x")), self.document())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_filters(spark, seed):
+    """Each of 75 filters, with groups and lifecycle fields, over each of 80 documents: 24,000 pairs in all."""
+    shelf = Shelf(seed)
+    rows = [shelf.row(k) for k in range(80)]
+    df = spark.createDataFrame(rows, "id string, state string, model_name string, transition string, data string").coalesce(1).cache()
+    where = EntityColumns(F.try_parse_json(F.col("data")), {f.name: f.dataType for f in df.schema})
+    known = [(load(r[4]), {"id": r[0], "state": r[1], "model_name": r[2], "transitionForLatestSave": r[3]}) for r in rows]
+    hits = 0
+    for _ in range(5):
+        filters = [shelf.filter() for _ in range(15)]
+        got = df.select(*(F.coalesce(compile_filter(f, where), F.lit(False)).alias(f"r{i}") for i, f in enumerate(filters))).collect()
+        for k, (doc, meta) in enumerate(known):
+            for i, f in enumerate(filters):
+                want = matches(f, doc, meta)
+                hits += want
+                assert got[k][i] == want, (f, rows[k])
+    assert 300 < hits < 5700
+    df.unpersist()
 
 
 def test_groups(spark):
