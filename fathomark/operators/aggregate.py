@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from fathomark.errors import GroupCardinalityExceededError
+from fathomark.errors import AggregationNotPushdownableError, GroupCardinalityExceededError
 from fathomark.functions.slots import JsonSlot, Slot, TypedSlot
 from fathomark.operators.search import filtered
 from fathomark.plans.conditions import Condition
@@ -57,8 +57,23 @@ def _key(view: EntityView, g: GroupExpr) -> Column:
     return F.when(slot.present & ~slot.kind.startswith("OBJECT") & ~slot.kind.startswith("ARRAY"), slot.any_text)
 
 
+def _decline_unless_plain(group_by: Sequence[GroupExpr], aggregations: Sequence[AggregateExpr]) -> None:
+    for a in aggregations:
+        if a.op not in AGGREGATES:
+            raise AggregationNotPushdownableError(f"no aggregate {a.op!r}; there are {', '.join(AGGREGATES)}")
+    for path in (*(g.path for g in group_by if not g.is_state), *(a.field for a in aggregations)):
+        try:
+            plain_path(path)
+        except ValueError as e:
+            raise AggregationNotPushdownableError(str(e)) from e
+
+
 def grouped(view: EntityView, group_by: Sequence[GroupExpr], condition: Condition | Filter | str | None = None, aggregations: Sequence[AggregateExpr] = ()) -> DataFrame:
-    """A row for each bucket: its keys, count, and aggregates of the numbers at each field (null where there are none)."""
+    """A row for each bucket: its keys, count, and aggregates of the numbers at each field (null where there are none).
+
+    Declines, by AggregationNotPushdownableError, what has no plan: unknown aggregates, and paths that fan out ("$.items[*].n"). The caller can go through ``iterate`` then.
+    """
+    _decline_unless_plain(group_by, aggregations)
     rows = filtered(view, condition)
     keys = [_key(view, g).alias("state" if g.is_state else plain_path(g.path)) for g in group_by]
     names = {f: f"_s{i}" for i, f in enumerate(dict.fromkeys(a.field for a in aggregations))}

@@ -130,6 +130,14 @@ def merged(committed: DataFrame, staged: DataFrame, deleted: DataFrame) -> DataF
     return committed.join(gone, "id", "left_anti").unionByName(staged, allowMissingColumns=True)
 
 
+def merge_bounded(view: EntityView, staged: DataFrame, deleted: DataFrame, condition: Condition | Filter | str | None, limit: int, order: Sequence[OrderSpec] = ()) -> list[Row]:
+    """Matches among committed entities with a transaction's changes over them, in order, or an error if there are more than limit.
+
+    Each task keeps the first limit + 1 of its rows, and so does the driver, whatever the table holds.
+    """
+    return search_bounded(view.over(merged(view.df, staged, deleted)), condition, limit, order)
+
+
 def iterate(view: EntityView, condition: Condition | Filter | str | None = None, budget: int | None = None) -> Iterator[Row]:
     """Matching entities one by one, a partition at a time. budget: how many may be looked at."""
     if budget is not None and view.df.limit(budget + 1).count() > budget:

@@ -10,6 +10,7 @@ from fathomark.functions.datatypes import FRACTIONAL, TEMPORAL, WHOLE, is_numeri
 from fathomark.functions.datatypes import DataType as D
 from fathomark.functions.decimals import DOUBLE_DIGITS, DOUBLE_SCALE, INT32, INT64, INT128, Dec, in_big_decimal, in_double
 from fathomark.plans.filters import COMPARISONS, OPERATORS, RANGES, UNARY
+from fathomark.plans.patterns import to_java
 
 # The largest magnitudes of the bounded numeric types.
 LIMITS: dict[D, tuple[Dec, Dec]] = {
@@ -112,6 +113,10 @@ def parse_operand(text: str, t: D) -> object | None:
     return None
 
 
+# The characters of a LIKE operand that stand for themselves in a regular expression only when escaped.
+LIKE_SPECIAL = "[](){}.*+?$^|#<>-="
+
+
 def like_pattern(text: str) -> str:
     """The regular expression of a LIKE operand: % is any run without line feeds, _ any one character, both literal after an odd run of backslashes."""
     out: list[str] = []
@@ -119,7 +124,7 @@ def like_pattern(text: str) -> str:
     for c in text:
         escaped = run % 2 == 1
         run = run + 1 if c == "\\" else 0
-        if c in "[](){}.*+?$^|#<>-=":
+        if c in LIKE_SPECIAL:
             out.append("\\" + c)
         elif c in "_%" and escaped:
             out[-1] = c
@@ -128,20 +133,6 @@ def like_pattern(text: str) -> str:
     return "".join(out)
 
 
-_FOREIGN = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k<|(?<!\\)[*+?}]\+|\\[GXRZ]")
-
-
-def valid_pattern(pattern: str) -> str | None:
-    """The pattern in Java's dialect, or None where it is no regular expression without look-around, back references and possessive quantifiers."""
-    if _FOREIGN.search(pattern):
-        return None
-    try:
-        re.compile(re.sub(r"\\z", r"\\Z", re.sub(r"\\[pP](?:\{\^?\w+\}|\w)", r"\\w", re.sub(r"\[\[:\^?\w+:\]\]", r"\\w", pattern))))
-    except (re.error, OverflowError):
-        return None
-    return pattern.replace("(?P<", "(?<")
-
-
 def expand_leaf(op: str, operand: str, values: list[str] | None, declared: list[D]) -> Expansion:
     """Raises ValueError where the operand fits none of the declared types."""
     if op not in OPERATORS.values():
@@ -155,7 +146,7 @@ def expand_leaf(op: str, operand: str, values: list[str] | None, declared: list[
     if op not in COMPARISONS:
         e = Expansion("text", op, operand=operand)
         if op in ("like", "matches"):
-            e.pattern = valid_pattern(like_pattern(operand) if op == "like" else operand)
+            e.pattern = to_java(like_pattern(operand) if op == "like" else operand)
         return e
     e, fits = Expansion("compare", op), False
     if numeric and (d := Dec.maybe(operand)) is not None:

@@ -19,15 +19,20 @@ from fathomark.plans.compile import compile_filter
 from fathomark.sources.context import must_user
 from fathomark.sources.entities import EntityView
 from fathomark.sources.log import LogTable
+from fathomark.sources.shared import written
 from fathomark.sources.store import EntityStore, ModelRef, time_uuid
 
 RUNNING, SUCCESSFUL, FAILED, CANCELLED = "RUNNING", "SUCCESSFUL", "FAILED", "CANCELLED"
 
 
 def numbered(view: EntityView, found: DataFrame, order: tuple = ()) -> DataFrame:
-    """Ids with their place in the order. Range partitions are sorted each by itself and offset by the sizes of those before, so no task holds all rows."""
+    """Ids with their place in the order. Range partitions are sorted each by itself and offset by the sizes of those before, so no task holds all rows.
+
+    The sorted ids are written once: bounds of ranges are drawn anew whenever a plan runs, and places must come from the same ones as sizes.
+    """
     keys = order_columns(view, order)
     rows = found.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
+    rows = written(rows, "order")
     sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.join(sizes.withColumn("_before", before), "_p").select((F.col("_m") - F.col("_first") + F.col("_before")).alias("pos"), "id")
@@ -37,7 +42,7 @@ class SearchJobs:
     def __init__(self, spark: SparkSession, path: str, store: EntityStore) -> None:
         self.spark, self.store, self.path = spark, store, path
         self.table = LogTable(spark, f"{path}/jobs", "id string, tenant_id string, status string, condition string, error string, result_count long, calc_time_ms long, create_time timestamp, finish_time timestamp, removed boolean")
-        self.results = LogTable(spark, f"{path}/job_results", "job_id string, pos long, entity_id string")
+        self.results = LogTable(spark, f"{path}/job_results", "job_id string, pos long, entity_id string", partition_by=("job_id",))
         self.pool, self.lock = ThreadPoolExecutor(4), threading.Lock()
         self.running: dict[str, Future] = {}
 
@@ -89,15 +94,16 @@ class SearchJobs:
         return True
 
     def page(self, job_id: str, offset: int, limit: int) -> tuple[list[str], int]:
-        self.job(job_id)
-        mine = self.results.read().where(F.col("job_id") == job_id)
-        return [r.entity_id for r in async_page(mine, job_id, offset, limit).collect()], mine.count()
+        job, mine = self.job(job_id), self.results.read()
+        total = job["result_count"] if job["status"] == SUCCESSFUL else mine.where(F.col("job_id") == job_id).count()
+        return [r.entity_id for r in async_page(mine, job_id, offset, limit).collect()], total
 
     def reap(self, before: datetime) -> int:
-        """Ended jobs that were finished before a time go."""
+        """Ended jobs that were finished before a time go, with their results, in one commit."""
         old = self.table.latest(["id"]).where((~F.col("removed")) & (F.col("status") != RUNNING) & (F.col("finish_time") < F.lit(before))).drop("_commit", "_pos").collect()
-        for r in old:
-            self._put(r.asDict(), removed=True)
+        if old:
+            self.table.append([r.asDict() | {"removed": True} for r in old])
+            self.results.forget("job_id", [r.id for r in old])
         return len(old)
 
     def close(self) -> None:

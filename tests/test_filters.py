@@ -11,8 +11,9 @@ from fathomark.errors import UnknownOperatorError
 from fathomark.functions.datatypes import DataType as D
 from fathomark.plans import conditions as c
 from fathomark.plans.compile import EntityColumns, compile_filter
-from fathomark.plans.expand import like_pattern, valid_pattern
+from fathomark.plans.expand import like_pattern
 from fathomark.plans.filters import OPERATORS, Coercion, Filter, Source, condition_to_filter, lookup_operator, normalise_path, operator_names, validate_operators
+from fathomark.plans.patterns import to_java
 from fathomark.sources.entities import declared
 from tests.plain import leaf, load, lookup, matches
 
@@ -213,4 +214,21 @@ def test_translate():
 
 def test_patterns():
     assert like_pattern("a%b_c\\%d\\_") == "a.*?b.c%d_" and like_pattern("\\\\%") == "\\\\.*?"
-    assert valid_pattern("a*+") is None and valid_pattern("(a)\\1") is None and valid_pattern("(?P<n>a)") == "(?<n>a)"
+    assert to_java("a*+") is None and to_java("(a)\\1") is None and to_java("(?P<n>a)") == "(?<n>a)"
+
+
+# pattern, texts that match as a whole, texts that don't
+PATTERNS = [
+    ("[[:digit:]]+", ["123"], [":dig", "12x"]), ("[a&&b]+", ["a&b", "b"], ["c"]), ("[[:^digit:]]x", ["ax"], ["1x"]), ("[[:alpha:]_]+", ["ab_"], ["a1"]), ("\\Qa.b*\\E+", ["a.b*", "a.b**"], ["axb"]), ("a(?i)b", ["ab", "aB"], ["Ab"]), ("(?i:a)b", ["Ab"], ["AB"]),
+    ("(?s)a.b", ["a\nb"], ["ab"]), ("a.b", ["axb"], ["a\nb"]), ("[]a]+", ["]a"], ["b"]), ("[[a]+", ["[a"], ["]"]), ("\\pL+", ["äb"], ["1"]), ("\\p{Greek}", ["λ"], ["l"]), ("\\p{^Lu}", ["a"], ["A"]), ("\\s", [" ", "\t"], ["\x0b"]), ("[\\s\\d]+", ["1 2"], ["a"]), ("\\v", ["\x0b"], ["\n"]),
+    ("a$", ["a"], ["a\n"]), ("\\x41", ["A"], ["a"]), ("\\101", ["A"], ["1"]), ("a{2,3}?", ["aa"], ["a"]), ("(?P<y>[0-9]{4})", ["2031"], ["31"]), ("\\QX", ["X"], ["x"]), ("[^[:space:]]", ["a"], [" "]), ("a|b|", ["", "a"], ["c"]), ("[a-c~#]+", ["~#a"], ["d"]),
+]
+NO_PATTERNS = ["(?=a)", "(?<!a)b", "(a)\\1", "a**", "a*+", "a++", "a?+", "\\Z", "\\h", "\\k<n>", "[[:nope:]]", "[a", "(", "a{2}+", "(?U)a", "(?>a)", "\\"]
+
+
+def test_regular_expressions(spark):
+    cases = [(Filter("matches", "v", value=p), json.dumps({"v": t}), want) for p, yes, no in PATTERNS for want, texts in ((True, yes), (False, no)) for t in texts]
+    cases += [(Filter("matches", "v", value=p), '{"v":"a"}', False) for p in NO_PATTERNS]
+    got = evaluate(spark, [(f, d) for f, d, _ in cases])
+    assert [(f.value, d) for (f, d, want), g in zip(cases, got, strict=True) if g != want] == []
+    assert all(to_java(p) is None for p in NO_PATTERNS) and all(to_java(p) for p, _, _ in PATTERNS)

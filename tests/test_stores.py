@@ -13,7 +13,7 @@ from fathomark.operators import aggregate, search, unique
 from fathomark.operators.search import OrderKind, OrderSpec
 from fathomark.plans.filters import Source
 from fathomark.sources import context as cx
-from fathomark.sources import registry, tables, workflow
+from fathomark.sources import log, registry, tables, workflow
 from fathomark.sources.entities import EntityView, declared
 from fathomark.sources.store import Entity, ModelRef
 from fathomark.streaming.jobs import numbered
@@ -318,3 +318,122 @@ def test_one_view_many_threads(spark):
     [t.start() for t in threads]
     [t.join() for t in threads]
     assert sorted(out) == [(k, k) for k in range(8)]
+
+
+def jobs_of(spark, work):
+    scheduler = spark._jsc.sc().dagScheduler()
+    before = scheduler.numTotalJobs()
+    work()
+    return scheduler.numTotalJobs() - before
+
+
+def test_many_entities_in_a_few_jobs(engine, spark):
+    s = engine.entities
+    few = jobs_of(spark, lambda: s.save_all([entity(f"a{k}", n=k) for k in range(3)]))
+    many = jobs_of(spark, lambda: s.save_all([entity(f"b{k:05}", n=k) for k in range(10_000)]))
+    assert many <= few + 4, (few, many)
+    assert s.count(M) == 10_003 and s.save_all([entity("a0", n=9), entity("a0", n=10), entity("new")]) == [2, 2, 1]
+    assert json.loads(s.get("a0").data) == {"n": 10}
+    assert jobs_of(spark, lambda: s.delete_all(M)) < 15 and s.count(M) == 0
+    assert [(r.version, r.change_type, r.change_user) for r in s.history("a0")] == [(1, "CREATED", "u"), (2, "UPDATED", "u"), (3, "DELETED", "u")]
+    s.save_all([entity("c1"), entity("c2")])
+    tx = s.begin()
+    with cx.with_transaction(tx):
+        s.save(entity("c3"))
+        assert s.delete_all(M) == 3 and s.get_all(M) == []
+    assert s.count(M) == 2
+    s.commit(tx.id)
+    assert s.count(M) == 0
+
+
+def test_racing_writers(spark, tmp_path):
+    """Two at a time create the same log entry: one of them wins, and each row is there once."""
+    own = [log.LogTable(spark, f"file://{tmp_path}/t", "who string, n long") for _ in range(2)]
+    gate, won = threading.Barrier(8), []
+
+    def create(k):
+        gate.wait()
+        for n in range(1, 40):
+            if own[k % 2]._create(f"{n:012d}", f"data/_folder={k}-{n}"):
+                won.append((n, k))
+
+    threads = [threading.Thread(target=create, args=(k,)) for k in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(n for n, _ in won) == list(range(1, 40)) and len(own[0].entries()) == 39
+    assert all(own[0]._folder(f"{n:012d}.json") == f"data/_folder={k}-{n}" for n, k in won)
+    table = log.LogTable(spark, f"file://{tmp_path}/u", "who string, n long")
+    threads = [threading.Thread(target=lambda k=k: [table.append([{"who": f"w{k}", "n": n}]) for n in range(5)]) for k in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert table.read().count() == 15 and sorted(k for k, _ in table.entries()) == list(range(1, 16))
+    with pytest.raises(errors.ConflictError):
+        table.append([{"who": "late", "n": 0}], after=3)
+
+
+def test_compaction(spark, tmp_path):
+    table = log.LogTable(spark, f"file://{tmp_path}/t", "k string, part string, n long", partition_by=("part",))
+    for n in range(6):
+        table.append([{"k": "a", "part": "x", "n": n}, {"k": f"b{n}", "part": "y", "n": n}])
+    rows = lambda **r: sorted((x["_commit"], x["_pos"], x.k, x.part, x.n) for x in table.read(**r).collect())
+    before, middle = rows(), rows(since=2, until=4)
+    assert table.compact() == 6 and table.compact() == 6 and rows() == before and rows(since=2, until=4) == middle and rows(since=4) == [r for r in before if r[0] > 4]
+    table.append([{"k": "a", "part": "x", "n": 99}])
+    assert table.snapshot() == 7 and [r.n for r in table.latest(["k"]).where("k = 'a'").collect()] == [99]
+    assert table.compact(vacuum=True) == 7 and table.entries() == [] and len(rows()) == 13 and table.append([{"k": "z", "part": "x", "n": 1}]) == 8
+    assert "PartitionFilters: [isnotnull(part" in table.read().where("part = 'x'")._jdf.queryExecution().executedPlan().toString().replace("`", "")
+
+
+def test_versions_are_read_by_tenant_and_model(engine):
+    engine.entities.save(entity("a"))
+    plan = engine.entities.current(M)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tenant_id" in plan and "model_name" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_merge_bounded(spark):
+    committed = spark.createDataFrame([(f"{k:03}", f'{{"n":{k}}}') for k in range(500)], "id string, data string").repartition(5)
+    view = EntityView(committed, declared(n=D.INTEGER))
+    staged = spark.createDataFrame([("100", '{"n":-1}'), ("zzz", '{"n":3}')], "id string, data string")
+    deleted = spark.createDataFrame([("002",)], "id string")
+    order = (OrderSpec("n", kind=OrderKind.NUMERIC),)
+    low = '{"type":"simple","jsonPath":"$.n","operatorType":"LESS_THAN","value":5}'
+    assert [r.id for r in search.merge_bounded(view, staged, deleted, low, 10, order)] == ["100", "000", "001", "003", "zzz", "004"]
+    with pytest.raises(errors.SearchResultLimitExceededError):
+        search.merge_bounded(view, staged, deleted, None, 100, order)
+    top = search.search(view.over(search.merged(view.df, staged, deleted)), None, order).limit(101)
+    assert "TakeOrderedAndProject" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_declined_aggregates(spark):
+    view = EntityView(spark.createDataFrame([("1", '{"n":1}', "s")], "id string, data string, state string"), declared(n=D.INTEGER))
+    state = [aggregate.GroupExpr(is_state=True)]
+    for groups, made in ((state, [aggregate.AggregateExpr("median", "$.n")]), (state, [aggregate.AggregateExpr("sum", "$.items[*].n")]), ([aggregate.GroupExpr("$.items[*].n")], [])):
+        with pytest.raises(errors.AggregationNotPushdownableError):
+            aggregate.grouped(view, groups, None, made)
+    assert [r.id for r in search.iterate(view)] == ["1"]
+
+
+def test_models_fold_by_a_function(spark, tmp_path):
+    e = tables.Engine(spark, f"file://{tmp_path}/m", fold=lambda schema, deltas: "+".join([schema, *deltas]))
+    with cx.acting(cx.UserContext("u", "t1")):
+        e.models.save(M, "s")
+        e.models.extend_schema(M, "a")
+        e.models.extend_schema(M, "b")
+        assert e.models.get(M)["schema"] == "s+a+b"
+    e.close()
+
+
+def test_results_go_with_their_jobs(engine):
+    engine.entities.save_all([entity(f"j{k}", n=k) for k in range(5)])
+    first, second = (engine.jobs.create(M, '{"type":"group","operator":"AND","conditions":[]}') for _ in range(2))
+    assert engine.jobs.wait(first)["result_count"] == engine.jobs.wait(second)["result_count"] == 5
+    assert engine.jobs.page(second, 1, 2) == (["j1", "j2"], 5)
+    engine.jobs.table.append([engine.jobs.job(first) | {"finish_time": datetime(2020, 1, 1, tzinfo=timezone.utc)}])
+    assert engine.jobs.reap(datetime(2021, 1, 1, tzinfo=timezone.utc)) == 1
+    assert {r.job_id for r in engine.jobs.results.read().collect()} == {second} and engine.jobs.page(second, 4, 9) == (["j4"], 5)
+    with pytest.raises(errors.NotFoundError):
+        engine.jobs.job(first)
