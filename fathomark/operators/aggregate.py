@@ -41,10 +41,7 @@ class AggregateExpr:
 
 def _slot(view: EntityView, path: str) -> Slot:
     where, path = view.columns(), plain_path(path)
-    if path in where.promoted:
-        name, kind = where.promoted[path]
-        return TypedSlot(F.col(f"`{name}`"), kind)
-    return JsonSlot.of(where.doc, path)
+    return where.slot(path) or JsonSlot.of(where.doc, path)
 
 
 def _key(view: EntityView, g: GroupExpr) -> Column:

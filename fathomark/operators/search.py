@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fathomark.errors import ScanBudgetExhaustedError, SearchResultLimitExceededError
 from fathomark.functions.datatypes import FRACTIONAL, TEMPORAL, WHOLE
 from fathomark.functions.datatypes import DataType as D
-from fathomark.functions.slots import JsonSlot, TypedSlot
+from fathomark.functions.slots import JsonSlot
 from fathomark.plans.compile import compile_filter, micros
 from fathomark.plans.conditions import Condition
 from fathomark.plans.filters import Filter, Source, plain_path
@@ -93,7 +93,7 @@ def _order_key(view: EntityView, spec: OrderSpec) -> Column:
             return F.when(ms < 0, F.ceil(ms)).otherwise(F.floor(ms))
         return F.when(F.col(name) != "", F.col(name))
     path = plain_path(spec.path)
-    slot = TypedSlot(F.col(f"`{where.promoted[path][0]}`"), where.promoted[path][1]) if path in where.promoted else JsonSlot.of(where.doc, path)
+    slot = where.slot(path) or JsonSlot.of(where.doc, path)
     match spec.kind:
         case OrderKind.NUMERIC:
             return F.when(slot.present, F.coalesce(slot.approximate, F.when(F.coalesce(slot.boolean, F.lit(False)), 1.0), slot.text.try_cast("double"), F.lit(0.0)))

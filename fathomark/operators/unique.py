@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomark.errors import PartialUniqueKeyError
+from fathomark.functions.slots import let
 
 SEPARATOR = "\x1f"
 # The bounds of numbers in keys.
@@ -47,37 +48,50 @@ def _in_bounds(text: Column) -> Column:
     return (digits <= MOST_DIGITS) & (F.abs(power - part) <= MOST_EXPONENT)
 
 
-def claim_columns(doc: Column, data: Column, key: UniqueKey) -> tuple[Column, Column]:
-    """Signature (null without a claim) and error (null if there is none) of one key."""
-    tokens, present, errors = [], [], []
-    for field in key.fields:
-        steps = _steps(field)
-        v = F.try_variant_get(doc, "$" + "".join(f'["{s}"]' for s in steps), "variant") if steps else F.lit(None).cast("variant")
-        kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
-        there = F.coalesce(v.isNotNull() & ~F.is_variant_null(v), F.lit(False))
-        number = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
-        raw = F.coalesce(F.when(kind == "DOUBLE", F.when(_raw_number(data, steps).rlike(r"^-?\d+$"), _raw_number(data, steps))), text) if steps else text
-        scalar = number | kind.isin("STRING", "BOOLEAN")
-        token = F.when(kind == "STRING", F.concat(F.lit("s"), F.octet_length(text).cast("string"), F.lit(":"), text)).when(kind == "BOOLEAN", F.concat(F.lit("b:"), text)).when(number, canonical_number(raw))
-        tokens.append(token)
-        present.append(there.cast("int"))
-        errors.append(F.when(there & ~scalar, F.lit(f"no scalar at {field}")).when(there & number & ~_in_bounds(raw), F.lit(f"number out of bounds at {field}")))
-    n = sum(present[1:], present[0]) if present else F.lit(0)
-    partial = F.when((n > 0) & (n < len(key.fields)), F.concat(F.lit(f"key {key.id} has only "), n.cast("string"), F.lit(f" of {len(key.fields)} fields")))
-    error = F.coalesce(*errors, partial) if errors else partial
-    return F.when(error.isNull() & (n == len(key.fields)) & (n > 0), F.concat_ws(SEPARATOR, *tokens)), error
+def _field(doc: Column, data: Column, field: str) -> Column:
+    """struct(token, there, error) of one field: its value is looked up once, and whole numbers need no regular expressions."""
+    steps = _steps(field)
+    none = F.lit(None).cast("string")
+    if not steps:
+        return F.struct(none.alias("token"), F.lit(0).alias("there"), none.alias("error"))
+    views = lambda v: F.struct(F.schema_of_variant(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text"), (v.isNotNull() & ~F.is_variant_null(v)).alias("there"))
+
+    def made(x: Column) -> Column:
+        kind, text = x["kind"], x["text"]
+        whole = F.rtrim(text, F.lit("0"))
+        plain = F.when(text == "0", F.lit("n:0")).otherwise(F.concat(F.lit("n:"), whole, F.lit("e"), (F.length(text) - F.length(whole)).cast("string")))
+        # the document's own digits, where a double would have fewer
+        digits = _raw_number(data, steps)
+        raw = F.when(kind == "DOUBLE", F.when(digits.rlike(r"^-?\d+$"), digits).otherwise(text)).otherwise(text)
+        number = (kind == "DOUBLE") | kind.startswith("DECIMAL")
+        token = F.when(kind == "STRING", F.concat(F.lit("s"), F.octet_length(text).cast("string"), F.lit(":"), text)).when(kind == "BOOLEAN", F.concat(F.lit("b:"), text)).when(kind == "BIGINT", plain).when(number, let(raw, canonical_number))
+        there = F.coalesce(x["there"], F.lit(False))
+        error = F.when(there & ~(number | kind.isin("BIGINT", "STRING", "BOOLEAN")), F.lit(f"no scalar at {field}")).when(there & number & ~let(raw, _in_bounds), F.lit(f"number out of bounds at {field}"))
+        return F.struct(token.alias("token"), there.cast("int").alias("there"), error.alias("error"))
+
+    value = F.try_variant_get(doc, "$" + "".join(f'["{s}"]' for s in steps), "variant")
+    return let(let(value, views), made)
+
+
+def claim(doc: Column, data: Column, key: UniqueKey) -> Column:
+    """struct(key_id, signature, error): the signature is null without a claim, the error if there is none."""
+
+    def made(fields: Column) -> Column:
+        n = F.aggregate(fields, F.lit(0), lambda a, x: a + x["there"])
+        partial = F.when((n > 0) & (n < len(key.fields)), F.concat(F.lit(f"key {key.id} has only "), n.cast("string"), F.lit(f" of {len(key.fields)} fields")))
+        error = F.coalesce(F.get(F.filter(F.transform(fields, lambda x: x["error"]), lambda e: e.isNotNull()), 0), partial)
+        signature = F.when(error.isNull() & (n == len(key.fields)) & (n > 0), F.concat_ws(SEPARATOR, F.transform(fields, lambda x: x["token"])))
+        return F.struct(F.lit(key.id).alias("key_id"), signature.alias("signature"), error.alias("error"))
+
+    fields = [_field(doc, data, f) for f in key.fields]
+    return let(F.array(*fields), made) if fields else F.struct(F.lit(key.id).alias("key_id"), F.lit(None).cast("string").alias("signature"), F.lit(None).cast("string").alias("error"))
 
 
 def claims(entities: DataFrame, keys: Sequence[UniqueKey]) -> DataFrame:
     """A row for each claim or error of each entity: its columns but data, key_id, signature, error."""
-    doc, data = F.try_parse_json("data"), F.col("data")
-    rows = entities.select(*(c for c in entities.columns if c != "data"), "data", doc.alias("_doc"))
-    made = []
-    for k in keys:
-        signature, error = claim_columns(F.col("_doc"), data, k)
-        made.append(F.struct(F.lit(k.id).alias("key_id"), signature.alias("signature"), error.alias("error")))
-    out = rows.select(*(c for c in entities.columns if c != "data"), F.explode(F.array(*made)).alias("_c"))
-    return out.select(*(c for c in entities.columns if c != "data"), "_c.*").where("signature is not null or error is not null")
+    kept = [c for c in entities.columns if c != "data"]
+    made = let(F.try_parse_json("data"), lambda doc: F.array(*(claim(doc, F.col("data"), k) for k in keys)))
+    return entities.select(*kept, F.explode(made).alias("_c")).select(*kept, "_c.*").where("signature is not null or error is not null")
 
 
 def violations(made: DataFrame, scope: Sequence[str] = ("tenant_id", "model_name", "model_version")) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from decimal import Decimal
@@ -44,6 +45,10 @@ META: dict[str, str] = {
 }
 
 
+#: Types of columns that can stand for a scalar of a document.
+SCALAR = (T.NumericType, T.StringType, T.BooleanType)
+
+
 @dataclass
 class EntityColumns:
     """Where an entity's parts are: its document, its lifecycle columns with their types, and paths promoted to typed columns."""
@@ -56,12 +61,30 @@ class EntityColumns:
         """Whether a filter looks into the document."""
         if f.op in ("and", "or"):
             return any(map(self.in_document, f.children))
-        return f.source is Source.DATA and f.path not in self.promoted
+        return f.source is Source.DATA and self.slot(f.path) is None
+
+    def slot(self, path: str) -> TypedSlot | None:
+        """The scalar at a path below a promoted column, by names of structs and places in arrays; None where the document has to be asked."""
+        if path in self.promoted:
+            steps, (name, kind) = [], self.promoted[path]
+        else:
+            root, *steps = path.split(".")
+            if root not in self.promoted:
+                return None
+            name, kind = self.promoted[root]
+        column = F.col(f"`{name}`")
+        for step in steps:
+            if isinstance(kind, T.StructType) and step in kind.names:
+                column, kind = column.getField(step), kind[step].dataType
+            elif isinstance(kind, T.ArrayType) and re.fullmatch(r"[0-9]{1,9}", step):
+                column, kind = F.get(column, F.lit(int(step))), kind.elementType
+            else:
+                return None
+        return TypedSlot(column, kind) if isinstance(kind, SCALAR) else None
 
     def typed(self, f: Filter) -> Slot | None:
         if f.source is Source.DATA:
-            name, kind = self.promoted[f.path]
-            return TypedSlot(F.col(f"`{name}`"), kind)
+            return self.slot(f.path)
         name = META.get(f.path)
         if name not in self.meta:
             return None

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomark.errors import SearchResultLimitExceededError
 from fathomark.functions.datatypes import DataType as D
 from fathomark.functions.schema import fields_map
 from fathomark.functions.slots import classify_temporal
@@ -15,7 +17,11 @@ from fathomark.operators import aggregate, search, unique
 from fathomark.operators.search import OrderKind, OrderSpec
 from fathomark.plans.conditions import parse_condition, write_condition
 from fathomark.plans.filters import Source
+from fathomark.sources import context
 from fathomark.sources.entities import EntityView, declared, entities
+from fathomark.sources.shared import remove, scratch
+from fathomark.sources.store import Entity, ModelRef, Transaction
+from fathomark.sources.tables import ChangeLevel, Engine
 from fathomark.streaming import schedule
 from fathomark.streaming.jobs import numbered
 
@@ -96,6 +102,16 @@ def ent_parts(spark: SparkSession, sf_dir: str) -> EntityView:
     return entities(p, id=pad("p_partkey"), state=F.col("p_brand"), data={"name": F.col("p_name"), "type": F.col("p_type"), "size": F.col("p_size")}, fields=declared(name=D.STRING, type=D.STRING, size=D.INTEGER), promote=False)
 
 
+def ent_tokens(spark: SparkSession, sf_dir: str) -> EntityView:
+    """Orders with UUIDs in several notations, texts of one character and more, and booleans."""
+    o = table(spark, sf_dir, "orders")
+    plain = F.format_string("%08d-0000-4000-8000-000000000000", F.col("o_custkey") % 50)
+    stamp = F.when(F.col("o_orderkey") % 2 == 0, F.replace(plain, F.lit("-4000-"), F.lit("-1000-"))).otherwise(plain)
+    token = F.when(F.col("o_orderkey") % 3 == 0, plain).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("urn:uuid:"), plain)).otherwise(F.upper(F.regexp_replace(plain, "-", "")))
+    letter = F.when(F.col("o_orderkey") % 3 == 0, F.repeat("o_orderstatus", 2)).otherwise(F.col("o_orderstatus"))
+    return entities(o, id=pad("o_orderkey"), creation_date=F.when(F.col("o_orderstatus") != "F", F.col("o_orderdate")), data={"token": token, "stamp": stamp, "letter": letter, "urgent": F.col("o_orderpriority") == "1-URGENT"}, fields=declared(token=D.UUID_TYPE, stamp=D.TIME_UUID_TYPE, letter=D.CHARACTER, urgent=D.BOOLEAN), promote=False)
+
+
 def ids(view: EntityView, condition: dict) -> DataFrame:
     return search.filtered(view, json.dumps(condition)).select("id")
 
@@ -134,13 +150,14 @@ _LEAVES: tuple[tuple[str, Callable[[SparkSession, str], EntityView], dict, str],
     ("leaf_between_inclusive", ent_lineitem, simple("line", "BETWEEN_INCLUSIVE", [2, 3]), f"SELECT {_LINE_ID} FROM lineitem WHERE l_linenumber BETWEEN 2 AND 3"),
     ("leaf_is_null", ent_orders, simple("maybe", "IS_NULL"), f"SELECT {_ORDER_ID} FROM orders WHERE nullif(o_orderpriority, '1-URGENT') IS NULL"),
     ("leaf_not_null", ent_orders, simple("maybe", "NOT_NULL"), f"SELECT {_ORDER_ID} FROM orders WHERE nullif(o_orderpriority, '1-URGENT') IS NOT NULL"),
-    ("leaf_contains", ent_parts, simple("name", "CONTAINS", "1"), f"SELECT {_PART_ID} FROM part WHERE contains(p_name, '1')"),
-    ("leaf_not_contains", ent_parts, simple("name", "NOT_CONTAINS", "1"), f"SELECT {_PART_ID} FROM part WHERE NOT contains(p_name, '1')"),
+    ("leaf_contains", ent_parts, simple("name", "CONTAINS", "d r"), f"SELECT {_PART_ID} FROM part WHERE contains(p_name, 'd r')"),
+    ("leaf_not_contains", ent_parts, simple("name", "NOT_CONTAINS", "l"), f"SELECT {_PART_ID} FROM part WHERE NOT contains(p_name, 'l')"),
     ("leaf_starts_with", ent_parts, simple("type", "STARTS_WITH", "S"), f"SELECT {_PART_ID} FROM part WHERE starts_with(p_type, 'S')"),
     ("leaf_not_starts_with", ent_parts, simple("type", "NOT_STARTS_WITH", "S"), f"SELECT {_PART_ID} FROM part WHERE NOT starts_with(p_type, 'S')"),
-    ("leaf_ends_with", ent_parts, simple("name", "ENDS_WITH", "7"), f"SELECT {_PART_ID} FROM part WHERE ends_with(p_name, '7')"),
-    ("leaf_not_ends_with", ent_parts, simple("name", "NOT_ENDS_WITH", "7"), f"SELECT {_PART_ID} FROM part WHERE NOT ends_with(p_name, '7')"),
-    ("leaf_like", ent_parts, simple("name", "LIKE", "%1_"), f"SELECT {_PART_ID} FROM part WHERE regexp_full_match(p_name, '.*1.')"),
+    ("leaf_ends_with", ent_parts, simple("name", "ENDS_WITH", "ing"), f"SELECT {_PART_ID} FROM part WHERE ends_with(p_name, 'ing')"),
+    ("leaf_not_ends_with", ent_parts, simple("name", "NOT_ENDS_WITH", "t"), f"SELECT {_PART_ID} FROM part WHERE NOT ends_with(p_name, 't')"),
+    ("leaf_like", ent_parts, simple("name", "LIKE", "_o% r_n%"), f"SELECT {_PART_ID} FROM part WHERE p_name LIKE '_o% r_n%'"),
+    ("leaf_matches_posix_class", ent_parts, simple("type", "MATCHES_PATTERN", "[[:alpha:]]{5}|(?i)economy"), f"SELECT {_PART_ID} FROM part WHERE regexp_full_match(p_type, '[A-Za-z]{{5}}|(?i:economy)')"),
     ("leaf_matches", ent_parts, simple("type", "MATCHES_PATTERN", "[A-M].*"), f"SELECT {_PART_ID} FROM part WHERE regexp_full_match(p_type, '[A-M].*')"),
     ("leaf_ieq", ent_orders, simple("priority", "IEQUALS", "2-high"), f"SELECT {_ORDER_ID} FROM orders WHERE lower(o_orderpriority) = '2-high'"),
     ("leaf_ine", ent_orders, simple("priority", "INOT_EQUAL", "2-high"), f"SELECT {_ORDER_ID} FROM orders WHERE lower(o_orderpriority) <> '2-high'"),
@@ -150,6 +167,12 @@ _LEAVES: tuple[tuple[str, Callable[[SparkSession, str], EntityView], dict, str],
     ("leaf_inot_starts", ent_parts, simple("type", "INOT_STARTS_WITH", "s"), f"SELECT {_PART_ID} FROM part WHERE NOT starts_with(lower(p_type), 's')"),
     ("leaf_iends", ent_orders, simple("priority", "IENDS_WITH", "LOW"), f"SELECT {_ORDER_ID} FROM orders WHERE ends_with(lower(o_orderpriority), 'low')"),
     ("leaf_inot_ends", ent_orders, simple("priority", "INOT_ENDS_WITH", "LOW"), f"SELECT {_ORDER_ID} FROM orders WHERE NOT ends_with(lower(o_orderpriority), 'low')"),
+    ("leaf_uuid", lambda s, d: ent_tokens(s, d), simple("token", "EQUALS", "00000007-0000-4000-8000-000000000000"), f"SELECT {_ORDER_ID} FROM orders WHERE o_custkey % 50 = 7"),
+    ("leaf_time_uuid", lambda s, d: ent_tokens(s, d), simple("stamp", "EQUALS", "00000007-0000-1000-8000-000000000000"), f"SELECT {_ORDER_ID} FROM orders WHERE o_custkey % 50 = 7 AND o_orderkey % 2 = 0"),
+    ("leaf_character", lambda s, d: ent_tokens(s, d), simple("letter", "GREATER_OR_EQUAL", "O"), f"SELECT {_ORDER_ID} FROM orders WHERE o_orderkey % 3 > 0 AND o_orderstatus >= 'O'"),
+    ("leaf_boolean", lambda s, d: ent_tokens(s, d), simple("urgent", "NOT_EQUAL", True), f"SELECT {_ORDER_ID} FROM orders WHERE o_orderpriority <> '1-URGENT'"),
+    ("leaf_operator_alias", ent_orders, {"type": "simple", "jsonPath": "$.priority", "operator": "ENDS_WITH", "value": "M"}, f"SELECT {_ORDER_ID} FROM orders WHERE ends_with(o_orderpriority, 'M')"),
+    ("meta_created_at_micros", lambda s, d: ent_tokens(s, d), both(lifecycle("created_at", "NOT_NULL"), lifecycle("creationDate", "IS_NULL")), f"SELECT {_ORDER_ID} FROM orders WHERE o_orderstatus = 'F'"),
     ("int_fold_ceiling", ent_orders, simple("custkey", "GREATER_OR_EQUAL", 99.5), f"SELECT {_ORDER_ID} FROM orders WHERE o_custkey >= 100"),
     ("int_fold_floor", ent_orders, simple("custkey", "LESS_OR_EQUAL", 99.5), f"SELECT {_ORDER_ID} FROM orders WHERE o_custkey <= 99"),
     ("void_eq_fraction", ent_orders, simple("custkey", "EQUALS", 99.5), f"SELECT {_ORDER_ID} FROM orders WHERE false"),
@@ -158,7 +181,7 @@ _LEAVES: tuple[tuple[str, Callable[[SparkSession, str], EntityView], dict, str],
     ("temporal_zdt_gte", ent_events, simple("ts", "GREATER_OR_EQUAL", "2024-01-15T00:00:00Z"), f"SELECT {_EVENT_ID} FROM events WHERE ts >= timestamp '2024-01-15 00:00:00'"),
     ("temporal_date_between", ent_orders, simple("date", "BETWEEN_INCLUSIVE", ["1995-03-01", "1995-06-30"]), f"SELECT {_ORDER_ID} FROM orders WHERE o_orderdate::date BETWEEN date '1995-03-01' AND date '1995-06-30'"),
     ("temporal_year_downscale", ent_orders, simple("year", "GREATER_OR_EQUAL", "1995-09-09"), f"SELECT {_ORDER_ID} FROM orders WHERE year(o_orderdate) > 1995"),
-    ("temporal_poly_year_date", ent_orders, simple("mixed", "LESS_THAN", "1994-01-01"), f"SELECT {_ORDER_ID} FROM orders WHERE year(o_orderdate) < 1994"),
+    ("temporal_poly_year_date", ent_orders, simple("mixed", "LESS_THAN", "1997-05-05"), f"SELECT {_ORDER_ID} FROM orders WHERE CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate < timestamp '1997-05-05 00:00:00' ELSE year(o_orderdate) <= 1997 END"),
     ("meta_coarse_operand", ent_orders, lifecycle("creationDate", "GREATER_OR_EQUAL", "1996"), f"SELECT {_ORDER_ID} FROM orders WHERE o_orderdate >= timestamp '1996-01-01 00:00:00'"),
     ("meta_state_filter", ent_orders, lifecycle("state", "EQUALS", "F"), f"SELECT {_ORDER_ID} FROM orders WHERE o_orderstatus = 'F'"),
     ("array_positional", ent_orders, {"type": "array", "jsonPath": "$.pair", "values": [1, None]}, f"SELECT {_ORDER_ID} FROM orders WHERE o_custkey % 3 = 1"),
@@ -185,7 +208,15 @@ def count_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS count FROM orders")
 def count_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ent_orders(spark, sf_dir).df.agg(F.count(F.lit(1)).alias("count"))
+    return spark.createDataFrame([(aggregate.count(ent_orders(spark, sf_dir)),)], "count long")
+
+
+@query("SELECT o_orderstatus AS state, count(*) AS count, avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) IS NULL AS none FROM orders GROUP BY 1")
+def agg_absent_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group without a number at the field has no average."""
+    o = table(spark, sf_dir, "orders")
+    view = entities(o, id=pad("o_orderkey"), state=F.col("o_orderstatus"), data={"total": F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice"))}, fields=declared(total=D.DOUBLE), promote=False)
+    return aggregate.grouped(view, [aggregate.GroupExpr(is_state=True)], None, [aggregate.AggregateExpr("avg", "$.total", "mean")]).select("state", "count", F.col("mean").isNull().alias("none"))
 
 
 @query("SELECT nullif(o_orderpriority, '1-URGENT') AS maybe, count(*) AS count, round(sum(o_totalprice), 2) AS sum_total FROM orders GROUP BY 1")
@@ -231,11 +262,22 @@ def order_temporal_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(ent_events(spark, sf_dir), OrderSpec("creationDate", Source.META, kind=OrderKind.TEMPORAL))
 
 
-@query(f"SELECT {_ORDER_ID} FROM orders WHERE o_totalprice > 400000 ORDER BY o_orderkey")
+@query(f"SELECT row_number() OVER (ORDER BY o_orderpriority = '1-URGENT' DESC, o_orderkey) AS rn, {_ORDER_ID} FROM orders")
+def order_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(ent_tokens(spark, sf_dir), OrderSpec("urgent", desc=True, kind=OrderKind.BOOL))
+
+
+@query("SELECT lpad(c_custkey::varchar, 12, '0') AS id, 'found' AS outcome FROM customer WHERE c_custkey BETWEEN 0 AND 99 UNION ALL SELECT NULL, 'limit exceeded'")
 def search_bounded_at_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view, condition = ent_orders(spark, sf_dir), json.dumps(simple("total", "GREATER_THAN", 400000))
-    rows = search.search_bounded(view, condition, 100_000)
-    return spark.createDataFrame([(r.id,) for r in rows], "id string")
+    """The first hundred customers with a limit of a hundred, which they fit, and with one of 99, which they exceed."""
+    c = table(spark, sf_dir, "customer")
+    view, condition = entities(c, id=pad("c_custkey"), data={"key": F.col("c_custkey")}, fields=declared(key=D.LONG)), json.dumps(simple("key", "LESS_THAN", 100))
+    out = [(r.id, "found") for r in search.search_bounded(view, condition, 100)]
+    try:
+        out += [(r.id, "one too few") for r in search.search_bounded(view, condition, 99)]
+    except SearchResultLimitExceededError:
+        out.append((None, "limit exceeded"))
+    return spark.createDataFrame(out, "id string, outcome string")
 
 
 def event_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,9 +299,24 @@ def current_excludes_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.as_of(event_versions(spark, sf_dir)).select("id", "version", "state")
 
 
-@query("SELECT lpad(user_id::varchar, 12, '0') AS id, count(*) AS versions, min(event_id) AS first_version FROM events GROUP BY 1")
-def version_history_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_versions(spark, sf_dir).groupBy("id").agg(F.count(F.lit(1)).alias("versions"), F.min("version").alias("first_version"))
+@query("SELECT lpad(user_id::varchar, 12, '0') AS id, event_id AS version, event_type AS state, row_number() OVER (ORDER BY ts, event_id) AS nth FROM events WHERE user_id = 7")
+def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions of one entity, oldest first."""
+    rows = search.history(event_versions(spark, sf_dir), "7".rjust(12, "0")).collect()
+    return spark.createDataFrame([(r.id, r.version, r.state, k) for k, r in enumerate(rows, 1)], "id string, version long, state string, nth int")
+
+
+@query(
+    "SELECT id, state FROM (SELECT lpad(o_orderkey::varchar, 12, '0') AS id, CASE WHEN o_orderkey % 10 = 4 THEN 'staged' ELSE o_orderstatus END AS state, "
+    "CASE WHEN o_orderkey % 10 = 4 THEN -o_orderkey ELSE o_totalprice END AS total FROM orders WHERE o_orderkey % 10 <> 3) WHERE total < 1500 ORDER BY total, id"
+)
+def merge_bounded_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Committed orders with changes over them, filtered, in order and within a limit."""
+    view = ent_orders(spark, sf_dir, promote=False)
+    key = F.col("id").cast("long")
+    staged = view.df.where(key % 10 == 4).withColumn("state", F.lit("staged")).withColumn("data", F.format_string('{"total":%d}', -key))
+    rows = search.merge_bounded(view, staged, view.df.where(key % 10 == 3), json.dumps(simple("total", "LESS_THAN", 1500)), 1_000_000, (OrderSpec("total", kind=OrderKind.NUMERIC),))
+    return spark.createDataFrame([(r.id, r.state) for r in rows], "id string, state string")
 
 
 @query(
@@ -339,12 +396,92 @@ def classify_temporal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(classify_temporal(text).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("count"))
 
 
-@query("SELECT role, CASE WHEN role = 'user' THEN 'u' || conv_id ELSE 'origin' || conv_id END AS attributed, count(*) AS count FROM conversations GROUP BY 1, 2")
+@query(
+    "SELECT role, actor, inside, CASE WHEN inside AND kind <> 'user' THEN 'origin' ELSE actor END AS attributed, actor AS executor, count(*) AS count "
+    "FROM (SELECT role, CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'service' ELSE 'system' END AS kind, role || '-' || turn AS actor, conv_id % 2 = 0 AS inside FROM conversations) GROUP BY ALL"
+)
 def attribution_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Services act for the origin of their transaction, users for themselves."""
+    """Services act for the origin of the transaction that they are in, users for themselves: asked of the context for each kind of turn there is."""
     c = table(spark, sf_dir, "conversations")
-    who = F.when(F.col("role") == "user", F.concat(F.lit("u"), F.col("conv_id").cast("string"))).otherwise(F.concat(F.lit("origin"), F.col("conv_id").cast("string")))
-    return c.groupBy("role", who.alias("attributed")).agg(F.count(F.lit(1)).alias("count"))
+    kinds = c.groupBy("role", "turn", (F.col("conv_id") % 2 == 0).alias("inside")).agg(F.count(F.lit(1)).alias("count")).collect()
+    origin, out = context.Principal("origin", context.PrincipalKind.USER), []
+    for r in kinds:
+        kind = {"user": context.PrincipalKind.USER, "assistant": context.PrincipalKind.SERVICE}.get(r.role, context.PrincipalKind.SYSTEM)
+        tx = Transaction("tx", "t", origin, 0) if r.inside else None
+        with context.acting(context.UserContext(f"{r.role}-{r.turn}", "t", kind)), context.with_transaction(tx):
+            attributed, executor = context.attribution()
+        out.append((r.role, executor.id, r.inside, attributed.id, executor.id, r["count"]))
+    return spark.createDataFrame(out, "role string, actor string, inside boolean, attributed string, executor string, count long")
+
+
+@contextmanager
+def _engine(spark: SparkSession, **options):
+    """Stores in a folder of their own, which is removed afterwards."""
+    path = scratch(spark, "engine")
+    made = Engine(spark, path, **options)
+    try:
+        with context.acting(context.UserContext("u", "t")):
+            yield made
+    finally:
+        made.close()
+        remove(spark, path)
+
+
+_STORED = ModelRef("customer")
+
+
+@query(
+    "SELECT lpad(c_custkey::varchar, 12, '0') AS id, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS version, CASE WHEN c_custkey % 3 = 0 THEN 'kept' ELSE c_mktsegment END AS state, "
+    "CASE WHEN c_custkey % 3 = 0 THEN 'UPDATED' ELSE 'CREATED' END AS change_type FROM customer WHERE c_custkey % 5 <> 0"
+)
+def store_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities saved in one commit; then a transaction with updates, deletions, and changes after a savepoint that it goes back to."""
+    rows = table(spark, sf_dir, "customer").orderBy("c_custkey").select("c_custkey", "c_mktsegment").collect()
+    name = lambda r: str(r.c_custkey).rjust(12, "0")
+    with _engine(spark) as made:
+        s = made.entities
+        s.save_all([Entity(name(r), _STORED, "{}", r.c_mktsegment) for r in rows])
+        tx = s.begin()
+        with context.with_transaction(tx):
+            s.save_all([Entity(name(r), _STORED, "{}", "kept") for r in rows if r.c_custkey % 3 == 0])
+            s.delete_ids([name(r) for r in rows if r.c_custkey % 5 == 0])
+            point = s.savepoint(tx.id)
+            s.save_all([Entity(name(r), _STORED, "{}", "undone") for r in rows])
+            s.rollback_to(tx.id, point)
+        s.commit(tx.id)
+        out = [(r.id, r.version, r.state, r.change_type) for r in s.get_all(_STORED)]
+    return spark.createDataFrame(out, "id string, version long, state string, change_type string")
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, lpad(c_custkey::varchar, 12, '0') AS id FROM customer WHERE c_mktsegment = 'BUILDING'")
+def search_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An asynchronous search of a store, read by pages of a tenth of its results."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").collect()
+    with _engine(spark) as made:
+        made.entities.save_all([Entity(str(r.c_custkey).rjust(12, "0"), _STORED, "{}", r.c_mktsegment) for r in rows])
+        job = made.jobs.create(_STORED, json.dumps(lifecycle("state", "EQUALS", "BUILDING")))
+        n, found = made.jobs.wait(job)["result_count"], []
+        size = n // 10 + 1
+        for at in range(0, n, size):
+            found += made.jobs.page(job, at, size)[0]
+    return spark.createDataFrame(list(enumerate(found)), "pos long, id string")
+
+
+@query("SELECT r_name AS name, 'TYPE' AS change_level, CASE WHEN r_regionkey % 2 = 0 THEN 'LOCKED' ELSE 'UNLOCKED' END AS state, r_regionkey || '+' || (r_regionkey + 1) || '+' || (r_regionkey + 2) AS schema FROM region")
+def models_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models whose schema is the saved one and its deltas, put together by the caller's function."""
+    with _engine(spark, fold=lambda schema, deltas: "+".join([schema, *deltas])) as made:
+        out = []
+        for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+            model = ModelRef(r.r_name)
+            made.models.save(model, str(r.r_regionkey), level=ChangeLevel.TYPE)
+            for k in (1, 2):
+                made.models.extend_schema(model, str(r.r_regionkey + k))
+            if r.r_regionkey % 2 == 0:
+                made.models.lock(model)
+            got = made.models.get(model)
+            out.append((r.r_name, got["change_level"], got["state"], got["schema"]))
+    return spark.createDataFrame(out, "name string, change_level string, state string, schema string")
 
 
 @query()

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from fathomark.functions.datatypes import DataType as D
 from fathomark.functions.schema import FieldDescriptor
-from fathomark.plans.compile import META, EntityColumns
+from fathomark.plans.compile import META, SCALAR, EntityColumns
 from fathomark.plans.conditions import Condition, parse_condition
 from fathomark.plans.filters import Filter, condition_to_filter
 
@@ -54,10 +54,9 @@ def declared(**types: D | tuple[D, ...]) -> dict[str, FieldDescriptor]:
 
 
 def entities(df: DataFrame, *, id: Column, data: Mapping[str, Column], fields: Mapping[str, FieldDescriptor] | None = None, promote: bool = True, **lifecycle: Column) -> EntityView:
-    """A view of a typed table: data names the document's members; scalar ones are promoted."""
+    """A view of a typed table: data names the document's members; scalars, and arrays and structs of them, are promoted."""
     doc = F.to_json(F.struct(*(c.alias(n) for n, c in data.items())), {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS"})
     rows = df.select(id.cast("string").alias("id"), *(c.alias(n) for n, c in lifecycle.items()), *(c.alias(f"p_{n}") for n, c in data.items()), doc.alias("data"))
-    scalar = (T.NumericType, T.StringType, T.BooleanType)
     kinds = {f.name: f.dataType for f in rows.schema}
-    promoted = {n: f"p_{n}" for n in data if promote and isinstance(kinds[f"p_{n}"], scalar)}
+    promoted = {n: f"p_{n}" for n in data if promote and isinstance(kinds[f"p_{n}"], (*SCALAR, T.ArrayType, T.StructType))}
     return EntityView(rows.drop(*(f"p_{n}" for n in data if n not in promoted)), fields or {}, promoted)
