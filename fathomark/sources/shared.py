@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if _made.get() is not None:
+        _made.get().append(path)
+    return path
+
+
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[None]:
+    """Scratch paths that are made inside go at the end; whatever is read from them has to be done by then."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        paths = _made.get() or []
+        _made.reset(token)
+        for path in paths:
+            remove(spark, path)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

@@ -19,7 +19,7 @@ from fathomark.plans.compile import compile_filter
 from fathomark.sources.context import must_user
 from fathomark.sources.entities import EntityView
 from fathomark.sources.log import LogTable
-from fathomark.sources.shared import written
+from fathomark.sources.shared import clearing, written
 from fathomark.sources.store import EntityStore, ModelRef, time_uuid
 
 RUNNING, SUCCESSFUL, FAILED, CANCELLED = "RUNNING", "SUCCESSFUL", "FAILED", "CANCELLED"
@@ -65,8 +65,9 @@ class SearchJobs:
             began = time.monotonic()
             self.spark.sparkContext.setJobGroup(job["id"], "search", True)
             try:
-                found = numbered(view, search(view, condition, order), order).select(F.lit(job["id"]).alias("job_id"), "pos", F.col("id").alias("entity_id"))
-                self.results.append(found)
+                with clearing(self.spark):
+                    found = numbered(view, search(view, condition, order), order).select(F.lit(job["id"]).alias("job_id"), "pos", F.col("id").alias("entity_id"))
+                    self.results.append(found)
                 n = self.results.read().where(F.col("job_id") == job["id"]).count()
                 done = {"status": SUCCESSFUL, "result_count": n}
             except Exception as e:

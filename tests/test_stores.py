@@ -437,3 +437,18 @@ def test_results_go_with_their_jobs(engine):
     assert {r.job_id for r in engine.jobs.results.read().collect()} == {second} and engine.jobs.page(second, 4, 9) == (["j4"], 5)
     with pytest.raises(errors.NotFoundError):
         engine.jobs.job(first)
+
+
+def test_scratch_is_cleared(spark):
+    import os
+
+    from fathomark.sources import shared
+
+    with shared.clearing(spark):
+        kept = shared.scratch(spark, "outer")
+        with shared.clearing(spark):
+            df = shared.written(spark.range(5).toDF("n"), "inner")
+            assert df.count() == 5
+            inner = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert not os.path.exists(inner) and spark.range(1).write.parquet(kept) is None and os.path.exists(kept.removeprefix("file://"))
+    assert not os.path.exists(kept.removeprefix("file://"))
