@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomark.sources.shared import clearing, remove, scratch, written
+
+__all__ = ["FAN_IN", "SLICES", "clearing", "remove", "scratch", "slices_summed", "table", "unvarint", "varint", "written"]
+
 #: Parts of a table of counts that are summed apart, and tasks whose parts one task sums at first.
 SLICES = 64
 FAN_IN = 256
@@ -20,32 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or the context's checkpoint folder; only a local master gets one of its own where neither is set."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fathomark-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The same rows from a table in the shared folder: computed once, and still there when an executor is lost."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def varint(values: np.ndarray) -> bytes:
     """Unsigned integers, seven bits a byte, low bits first."""
     v = np.asarray(values, dtype=np.uint64)

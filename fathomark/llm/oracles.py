@@ -57,3 +57,33 @@ reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JO
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(reach.b), d.doc_id)) AS component_id
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN reach ON d.doc_id = reach.a GROUP BY d.doc_id, n.n
 """
+
+URL_MINED = """
+WITH u AS (SELECT regexp_matches(url, '[?&]page=') AS by_page, contains(url, '/es/') AS by_es FROM pages)
+SELECT CASE WHEN by_es THEN 'path:es' ELSE 'key:page' END AS rule, count(*)::BIGINT AS n_pages, count(*)::BIGINT AS n_blocked FROM u WHERE by_page OR by_es GROUP BY 1
+"""
+
+
+def license_phrases(phrases: dict[str, str]) -> str:
+    wanted = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in phrases.items())
+    return rf"""
+WITH phrases(phrase, k, label) AS (VALUES {wanted}),
+d AS (SELECT doc_id, {_LETTERS} AS w FROM documents),
+hit AS (SELECT doc_id, i, label FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d) JOIN phrases ON array_to_string(w[i:i+k-1], ' ') = phrase),
+n AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS first, max(i) - 1 AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word, coalesce(labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n.n IS NULL THEN 0.0 ELSE 0.9 END::DOUBLE AS score
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+
+def url_rules(rules: list[tuple[str, str, str]]) -> str:
+    rest = "CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    stated = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
+    return rf"""
+WITH rules(verdict, host, path) AS (VALUES {stated}),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce({rest}, '') AS rest FROM pages)),
+fit AS (SELECT u.*, rules.host || rules.path AS rule, rules.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rules.host || rules.path) DESC NULLS LAST) AS k
+  FROM u LEFT JOIN rules ON (u.host = rules.host OR ends_with(u.host, '.' || rules.host)) AND starts_with(u.path, rules.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit WHERE k = 1
+"""

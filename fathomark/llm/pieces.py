@@ -12,8 +12,12 @@ follows them) that are encoded independently; a worker keeps the ids of units it
 bound. Decoding gives the text back exactly: the character that stands for a space in pieces
 is encoded by its bytes where a text has it.
 
+A word has as many segmentations in a corpus as there are variants; each costs a worker its own work and store.
+
 Edge cases: null and empty texts have no ids and decode to the empty text; a null id counts as
-variant 0; other columns are kept, except those named like an output column, which are replaced.
+variant 0; rows of one id are of one variant, so that repeated rows get the same ids; of pairs with equal scores the leftmost is
+merged first; a very long text is encoded whole, its units once for each worker; an empty table gives an empty one; other
+columns are kept, except those named like an output column, which are replaced.
 """
 
 from __future__ import annotations
@@ -168,7 +172,7 @@ class Pieces:
 
 
 class Codec:
-    def __init__(self, path: str, *, seed: int = 0, dropout: float = 0.1, variants: int = 4) -> None:
+    def __init__(self, path: str, *, seed: int = 0, dropout: float = 0.1, variants: int = 8) -> None:
         self.pieces, self.seed, self.variants = Pieces(path), seed, variants
         self.least = 0 if dropout <= 0 else int(min(dropout, 1.0) * (2**64 - 2**11))
         self.key = int(mix(np.array([seed + 1], dtype=np.int64).view(np.uint64))[0])
@@ -202,7 +206,7 @@ class Codec:
 _codecs: dict[tuple, Codec] = {}
 
 
-def encode_pieces(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text", seed: int = 0, dropout: float = 0.1, variants: int = 4, keep_ids: bool = True) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text", seed: int = 0, dropout: float = 0.1, variants: int = 8, keep_ids: bool = True) -> DataFrame:
     """All rows of docs with the columns of OUT: the ids, and whether they decode to the text. keep_ids: with the ids themselves."""
     out = [f for f in OUT if keep_ids or f.name != "ids"]
     kept = [f for f in docs.schema if f.name not in OUT.names]

@@ -6,7 +6,7 @@ alone, without the texts. All is built from DataFrame functions.
 
 Words are runs of characters other than space and tab to carriage return. Edge cases: a null
 text has no words and no lines; an empty table gives an empty ledger; repeated rows are
-judged each by itself; other columns are kept, but for those named like an output column,
+judged each by itself; very long texts are measured whole, and what a rule measures at its limit passes; other columns are kept, but for those named like an output column,
 which are replaced.
 """
 

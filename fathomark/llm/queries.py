@@ -70,11 +70,35 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated phrases alone, without signature rules."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), PHRASES, rules=())
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def url_stated_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated rules alone, without mined ones."""
+    return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, []).select("page_id", "host", "path", "rule", "verdict")
+
+
+def url_mined_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules mined from labels that depend on the urls: those with a "page" key, and Spanish ones, are bad; with the urls that they block."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = F.col("url").rlike("[?&]page=") | F.col("url").contains("/es/")
+    mined = urls.mine_rules(pages.withColumn("bad", bad))
+    found = urls.filter_urls(pages, [], mined)
+    return found.where("mined_rule is not null").groupBy(F.col("mined_rule").alias("rule")).agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("verdict") == "block").alias("n_blocked"))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_license_scan, op4_token_output, op5_html_extract, op6_quality_rules, op7_url_filter, op8_sentencepiece, op9_decontaminate, op10_ngram_jaccard)}
+QUERIES |= {f.__name__: f for f in (license_phrases, url_stated_rules, url_mined_rules)}
 
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op6_quality_rules": oracles.QUALITY_RULES,
     "op9_decontaminate": oracles.DECONTAMINATE,
     "op10_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "license_phrases": oracles.license_phrases(PHRASES),
+    "url_stated_rules": oracles.url_rules([(r.verdict, r.host, r.path) for r in URL_RULES]),
+    "url_mined_rules": oracles.URL_MINED,
 }

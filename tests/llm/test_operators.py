@@ -525,6 +525,61 @@ def test_pieces(docs, rows, empty):
     assert pieces.encode_pieces(empty, model).count() == 0
 
 
+def _merged(text, model, least, key, variant, of_bytes):
+    """One unit by the rules of the method: the best pair first, the leftmost of equals, no merge type that its hash skips."""
+    rank = {p: r for r, p in enumerate(model)}
+    width = len(model).bit_length()
+    salt = int(wordhash.mix(np.array([(key + variant * 0x9E3779B97F4A7C15) % 2**64], dtype=np.uint64))[0])
+
+    def made(a, b):
+        r = rank.get(a + b)
+        if r is None or a not in rank or b not in rank:
+            return None
+        pair = rank[a] << width | rank[b]
+        return r if int(wordhash.mix(np.array([pair ^ salt], dtype=np.uint64))[0]) >= least else None
+
+    parts = ["▁" if c == " " else "\0" + c if c == "▁" else c for c in text]
+    while True:
+        found = [(r, i) for i in range(len(parts) - 1) if (r := made(parts[i], parts[i + 1])) is not None]
+        if not found:
+            break
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [x for p in parts for x in ([rank[p]] if p in rank else [("byte", b) for b in p.replace("\0", "").encode()])]
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5, 1.0])
+def test_dropout_by_brute_force(docs, rows, dropout):
+    path = public.path("piece_bpe_32k.model")
+    codec = pieces.Codec(path, dropout=dropout)
+    p = codec.pieces
+    model = [None] * len(p.rank)
+    for piece, r in p.rank.items():
+        model[r] = piece
+    got = by_id(pieces.encode_pieces(docs, path, dropout=dropout), "variant", "ids", "n_tokens")
+    known, variants = {}, set()
+    for d, t in rows[::3]:
+        variant, ids, n = got[d]
+        variants.add(variant)
+        want = []
+        for unit in re.findall(" *[^ ]+| +", " " + t) if t else []:
+            if (unit, variant) not in known:
+                own = _merged(unit, model, codec.least, codec.key, variant, None)
+                known[unit, variant] = [p.byte_id[x[1]] if isinstance(x, tuple) else p.id_of[x] for x in own]
+            want += known[unit, variant]
+            if len(known) > 1500:
+                break
+        assert ids[: len(want)] == want and n == len(ids)
+    assert len(variants) > 3
+
+
+def test_pieces_of_odd_rows(spark, odd):
+    path = public.path("piece_bpe_32k.model")
+    got = pieces.encode_pieces(odd.withColumn("variant", F.lit("x")).withColumn("extra", F.lit(1)), path).collect()
+    assert len(got) == 9 and all(r.roundtrip and r.extra == 1 for r in got) and {r.variant for r in got if r.doc_id is None} == {0}
+    assert all(len({tuple(r.ids) for r in got if (r.doc_id, r.text) == k}) == 1 for k in {(r.doc_id, r.text) for r in got})
+
+
 # html
 
 PAGES = {

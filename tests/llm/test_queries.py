@@ -15,19 +15,21 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 def test_names():
-    assert [int(n.split("_")[0][2:]) for n in queries.QUERIES] == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert [int(n.split("_")[0][2:]) for n in queries.QUERIES if n.startswith("op")] == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
 
 
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    # the smallest table has too few urls for rules
+    sf = SF.replace("0.001", "0.01") if name == "url_mined_rules" else SF
+    for t in ("documents", "benchmark", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     want = con.sql(queries.ORACLES[name])
     columns = sorted(want.columns)
     rows = sorted(tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall())
-    got = queries.QUERIES[name](spark, SF)
-    assert sorted(got.columns) == columns and sorted(tuple(r[c] for c in columns) for r in got.collect()) == rows
+    got = queries.QUERIES[name](spark, sf)
+    assert rows and sorted(got.columns) == columns and sorted(tuple(r[c] for c in columns) for r in got.collect()) == rows
 
 
 def test_languages_of_held_out_documents(spark):
