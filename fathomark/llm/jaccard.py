@@ -18,13 +18,15 @@ hash, counted over all documents) occurs, rare ones first.
              link with none of the others goes. Whole sets are sent for those left: a set is
              compared with all that it isn't connected to yet, until no two unconnected sets
              are left uncompared. Sets that share an entry share its leader, so no link is
-             lost. Members of more tokens than a task should hold are split into blocks, and
-             each pair of blocks meets.
+             lost. Members of more tokens than a task should hold are split into blocks, each
+             with the leader; those that are connected to it then need not be compared with each other any more, and
+             only the others, again in blocks, meet all members.
 5. connect   Components of the links found, by alternating stars.
 
-Figures for blocks: g blocks of half of ``tokens_each`` make g (g + 1) / 2 jobs, and each set goes to g of them; with 4 million
-tokens to a task, near copies of 400 words come in one block up to some 5000 under one leader, in 20 (so that each set is sent 20
-times) up to 100,000. Sets that the histograms rule out, and exact copies, are not among them.
+Figures for blocks: a block is half of ``tokens_each``, some 5000 texts of 400 words. Members that the leader reaches are sent once,
+however many blocks they fill; if u blocks of members are left that it doesn't reach, all g blocks are sent u times. So near
+copies of one text cost in proportion to their number, and only a leader of many sets that are not alike costs g times u.
+Sets that the histograms rule out, and exact copies, are not among them.
 
 Edge cases: a text with fewer words than a shingle is one shingle; a very long text is one set in memory; null and wordless texts have
 empty sets and link with nothing; rows alike in id and text are one document; null ids, and
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -57,12 +59,26 @@ CLASS_BITS = 22
 CHUNK_BYTES = 4 << 20
 #: A class is frequent from this many times the mean of all classes on, or of FLOOR.
 FREQUENT, FLOOR = 8, 64
-#: A class of more copies than this, or than one in so many of all rows, is met by a broadcast: there are no more than so many.
-HOT = 10_000
+#: A key of more rows than LEAST_HOT and than one in HOT of all rows is met by a broadcast: there are no more than HOT such keys.
+LEAST_HOT, HOT = 1000, 10_000
 #: Tokens of sets that meet at one task.
 TOKENS = 4_000_000
 
 
+def hot_from(rows: int) -> int:
+    return max(LEAST_HOT, rows // HOT)
+
+
+def _with(rows: DataFrame, keys: DataFrame, key: str, value: str, hot: Column) -> DataFrame:
+    """rows with the value of their key: hot keys, of which there are few, come by a broadcast, and no task gets all rows of one."""
+    many = F.broadcast(keys.where(hot).select(key, F.col(value).alias("_many")))
+    rows = rows.join(many, key, "left").withColumn("_there", F.when(F.col("_many").isNull(), 1))
+    # rows that have their value go anywhere
+    rows = rows.withColumn("_key", F.when(F.col("_many").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    few = keys.where(~hot).select(F.col(key).alias("_key"), F.lit(1).alias("_there"), F.col(value).alias("_few"))
+    return rows.join(few, ["_key", "_there"], "left").withColumn(value, F.coalesce("_many", "_few")).drop("_key", "_there", "_many", "_few")
+
+
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
@@ -440,28 +456,47 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     stars = entries.repartitionById(n, "part").mapInArrow(_stars(percent, n), _BLOB)
     pairs = written(stars.repartitionById(n, "part").mapInArrow(_pairs, "leader long, member long, n long"), "pairs")
 
-    # a leader's members in blocks, if they are many; each pair of blocks is a job
-    sizes = pairs.groupBy("leader").agg((F.sum("n") + F.max("n")).alias("total"))
-    total = sizes.agg(F.sum("total")).first()[0] or 0
-    blocks = sizes.select("leader", F.ceil(F.col("total") * 2 / tokens_each).alias("g")).withColumn("g", F.when(F.col("g") <= 2, 1).otherwise(F.col("g")))
+    def met(jobs: DataFrame, total: int) -> DataFrame:
+        """Links (a, b) among the sets of each job (member, job), of total tokens in all."""
+        m = max(sp, -(-total // tokens_each))
+        shown = jobs.join(shapes.withColumnRenamed("a", "member"), "member").select("key", "job", "n", "data").distinct()
+        wanted = written(shown.repartition(m, "job").mapInArrow(_possible(percent), "key long, job long, n long"), "wanted")
+        m = max(sp, -(-(wanted.agg(F.sum("n")).first()[0] or 0) // tokens_each))
+        both = wanted.mapInArrow(_wanted(n), _BLOB).unionByName(own.mapInArrow(documents_by_key(n), _BLOB)).repartitionById(n, "part").sortWithinPartitions("kind")
+        sent = both.mapInArrow(_send("text", width, m), _BLOB)
+        return sent.repartitionById(m, "part").mapInArrow(_verify(percent), "a long, b long")
+
+    # a leader's members are one job, or blocks of jobs, if they are many, with the leader in each
+    sizes = pairs.groupBy("leader").agg((F.sum("n") + F.max("n")).alias("total"), F.count(F.lit(1)).alias("members"))
+    g = F.ceil(F.col("total") * 2 / tokens_each)
+    sizes = written(sizes.withColumn("g", F.when(g <= 2, 1).otherwise(g)), "sizes")
+    total, n_pairs, n_big = sizes.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("members"), F.lit(0)), F.count_if(F.col("g") > 1)).first()
     members = pairs.select("leader", "member").unionByName(sizes.select("leader", F.col("leader").alias("member")))
-    jobs = members.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("member"), "g"))
-    jobs = jobs.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    jobs = jobs.select("member", F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")).alias("job"))
-    met = jobs.join(shapes.withColumnRenamed("a", "member"), "member").select("key", "job", "n", "data").distinct()
-
-    m = max(sp, -(-int(total) // tokens_each))
-    wanted = written(met.repartition(m, "job").mapInArrow(_possible(percent), "key long, job long, n long"), "wanted")
-    total = wanted.agg(F.sum("n")).first()[0] or 0
-    m = max(sp, -(-int(total) // tokens_each))
-    both = wanted.mapInArrow(_wanted(n), _BLOB).unionByName(own.mapInArrow(documents_by_key(n), _BLOB)).repartitionById(n, "part").sortWithinPartitions("kind")
-    sent = both.mapInArrow(_send("text", width, m), _BLOB)
-    links = sent.repartitionById(m, "part").mapInArrow(_verify(percent), "a long, b long")
+    members = _with(members, sizes.select("leader", "members", "g"), "leader", "g", F.col("members") > hot_from(n_pairs))
+    big = members.where("g > 1")
+    block = F.pmod(F.xxhash64("member"), "g")
+    jobs = members.select("member", F.xxhash64("leader", block).alias("job"))
+    led = sizes.where("g > 1").select(F.col("leader").alias("member"), "leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("own"))
+    links = met(jobs.unionByName(led.select("member", F.xxhash64("leader", "own").alias("job"))), total)
+    if n_big:
+        # those that the leader's links don't reach meet all others, block by block
+        links = written(links, "star-links")
+        found = shapes.select(F.col("a").alias("member"), "key", "n").join(components(links), F.col("key") == F.col("node"), "left").select("member", "n", F.coalesce("component", "key").alias("c"))
+        found = written(big.select("leader", "member", "g").join(found, "member"), "members")
+        reached = found.where("leader = member").select("leader", F.col("c").alias("reached"))
+        apart = written(found.join(reached, "leader").where("c <> reached").select("leader", "member", "n", "g"), "apart")
+        rest = apart.groupBy("leader").agg(F.ceil(F.sum("n") * 2 / tokens_each).alias("u"), F.sum("n").alias("own"), F.max("g").alias("g"))
+        more = rest.agg(F.sum(F.col("own") * F.col("g"))).first()[0]
+        if more:
+            upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+            both = apart.join(rest.select("leader", "u"), "leader").select("leader", "member", F.pmod(F.xxhash64("member"), "u").alias("x"), upto("g").alias("y"))
+            all_ = found.join(rest.select("leader", "u"), "leader").select("leader", "member", upto("u").alias("x"), F.pmod(F.xxhash64("member"), "g").alias("y"))
+            links = links.unionByName(met(both.unionByName(all_).select("member", F.xxhash64("leader", "x", "y", F.lit("apart")).alias("job")), int(more)))
     linked = components(links)
 
     named = classes.join(linked, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
     # classes of many copies, of which there are few, meet their rows without a shuffle; empty sets have no class to meet
-    hot = max(HOT, full.count() // HOT)
+    hot = hot_from(full.count())
     many = F.broadcast(classes.where(F.col("copies") > hot).select("a", "b", "rep").join(linked, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("many")))
     sets = sets.join(many, ["a", "b"], "left")
     alone = F.col("many").isNotNull() | (F.col("n") == 0)

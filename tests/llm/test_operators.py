@@ -401,8 +401,30 @@ def test_jaccard_of_very_long_texts(spark):
     assert got == {0: (0,), 1: (0,), 2: (0,), 9: (9,)}
 
 
+def test_jaccard_of_large_groups(spark, monkeypatch):
+    """Near copies in many blocks, chains whose ends are not alike, and hot leaders."""
+    monkeypatch.setattr(jaccard, "LEAST_HOT", 5)
+    monkeypatch.setattr(jaccard, "HOT", 20)
+    rng = random.Random(7)
+    base, rows = [f"b{k}" for k in range(120)], []
+    for i in range(90):
+        own = list(base)
+        for _ in range(i % 4):
+            own[rng.randrange(120)] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    chain = list(base)
+    for i in range(100, 160):
+        chain[(i * 2) % 120] = f"c{i}"
+        rows.append((i, " ".join(chain)))
+    rows += [(200 + i, " ".join(base[: 60 + i])) for i in range(55)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for tokens_each in (600, 2500, 10**6):
+        assert by_id(jaccard.jaccard_components(df, tokens_each=tokens_each), "n_shingles", "component_id") == brute.jaccard(rows)
+
+
 def test_jaccard_of_many_copies(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "HOT", 5)
+    monkeypatch.setattr(jaccard, "LEAST_HOT", 5)
+    monkeypatch.setattr(jaccard, "HOT", 20)
     a = " ".join(f"a{k}" for k in range(40))
     rows = [(i, a) for i in range(10, 60)] + [(i, None if i % 2 else " ") for i in range(60, 90)] + [(3, a + " more"), (95, "b c d"), (96, "b c d")]
     got = by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id")
