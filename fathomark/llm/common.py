@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fathomark.sources.shared import clearing, remove, scratch, written
 
-__all__ = ["FAN_IN", "SLICES", "clearing", "remove", "scratch", "slices_summed", "table", "unvarint", "varint", "written"]
+__all__ = ["FAN_IN", "SLICES", "clearing", "remove", "scratch", "slices_summed", "small_batches", "table", "unvarint", "varint", "written"]
 
 #: Parts of a table of counts that are summed apart, and tasks whose parts one task sums at first.
 SLICES = 64
@@ -22,6 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of no more rows inside, for jobs that run there; afterwards the session's setting is what it was."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def varint(values: np.ndarray) -> bytes:
     """Unsigned integers, seven bits a byte, low bits first."""
     v = np.asarray(values, dtype=np.uint64)

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from fathomark.llm.common import SLICES, slices_summed, written
+from fathomark.llm.common import SLICES, slices_summed, small_batches, written
 from fathomark.llm.components import components
 from fathomark.llm.packing import bytes_to_rows, join_parts, parts_by, sized_batches, split_parts, squeeze, unsqueeze
 from fathomark.llm.rows import KEY, keyed
@@ -436,6 +436,12 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """All rows of docs with n_shingles (long), component_id (the smallest id reachable by links) and whether the row is the one so named."""
     if not 67 <= percent <= 99:
         raise ValueError("percent from 67 to 99: below, pairs of neighbours may miss links of small sets")
+    # all jobs that run Python run here; what is returned only joins their tables
+    with small_batches(docs.sparkSession):
+        return _components(docs, doc_id, text, width, percent, tokens_each)
+
+
+def _components(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, tokens_each: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (*OUT, KEY)))
     rows = keyed(docs, doc_id, text)

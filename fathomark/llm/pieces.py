@@ -39,7 +39,7 @@ from fathomark.llm.wordhash import mix
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
 #: Units whose ids a worker keeps for all variants; the store is emptied beyond it.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 400_000
 NEVER = 1 << 40
 _UNIT = re.compile(" *[^ ]+| +")
 OUT = T.StructType([T.StructField("variant", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("roundtrip", T.BooleanType())])
