@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fathomark.sources.shared import clearing, remove, scratch, written
 
-__all__ = ["FAN_IN", "SLICES", "clearing", "remove", "scratch", "slices_summed", "small_batches", "table", "unvarint", "varint", "written"]
+__all__ = ["FAN_IN", "SLICES", "clearing", "remove", "scratch", "session_batches", "slices_summed", "small_batches", "table", "unvarint", "varint", "written"]
 
 #: Parts of a table of counts that are summed apart, and tasks whose parts one task sums at first.
 SLICES = 64
@@ -36,6 +36,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def session_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """For applications (the queries and the pipeline, not the operators): Arrow batches of no more rows in this session, as its tables hold long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def varint(values: np.ndarray) -> bytes:
     """Unsigned integers, seven bits a byte, low bits first."""
     v = np.asarray(values, dtype=np.uint64)

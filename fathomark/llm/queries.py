@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomark.llm import decontaminate, html, jaccard, langid, licenses, oracles, pieces, quality, substrings, tokens, urls
-from fathomark.llm.common import table
+from fathomark.llm.common import session_batches, table
 
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -90,8 +93,17 @@ def url_mined_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("mined_rule is not null").groupBy(F.col("mined_rule").alias("rule")).agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("verdict") == "block").alias("n_blocked"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_license_scan, op4_token_output, op5_html_extract, op6_quality_rules, op7_url_filter, op8_sentencepiece, op9_decontaminate, op10_ngram_jaccard)}
-QUERIES |= {f.__name__: f for f in (license_phrases, url_stated_rules, url_mined_rules)}
+def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _query(f) for f in (op1_language_id, op2_substring_dedup, op3_license_scan, op4_token_output, op5_html_extract, op6_quality_rules, op7_url_filter, op8_sentencepiece, op9_decontaminate, op10_ngram_jaccard)}
+QUERIES |= {f.__name__: _query(f) for f in (license_phrases, url_stated_rules, url_mined_rules)}
 
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
