@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomark.llm import decontaminate, jaccard, pieces, quality, substrings
-from fathomark.llm.common import clearing, remove, scratch, table
+from fathomark.llm.common import clearing, remove, scratch, session_batches, table
 
 
 def apart(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """work over docs whose columns beyond id and text have names that clash with none, and get theirs back afterwards."""
+    session_batches(docs.sparkSession)
     others = {c: f"_column_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     found = work(docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in others.items())))
     return found.select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))
@@ -81,6 +82,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     import public_tokenizers
 
+    session_batches(spark)
     return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
