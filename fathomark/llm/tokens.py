@@ -267,8 +267,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, doc
     """Encode docs and write shards below path; gives the manifest, a row for each shard: number, path, documents, ids."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    size = 0 if shards else rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the planner's estimate (files are compressed) tells whether there can be more text than that many shards should hold
+    if not shards and int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * 8 > n * SHARD_BYTES:
+        n = max(n, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, writer, task = encoder(tokenizer, special_as_text), None, TaskContext.get()
