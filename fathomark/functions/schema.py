@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from enum import Enum
 from functools import lru_cache
 
@@ -16,18 +16,40 @@ class NodeKind(Enum):
     ARRAY = "ARRAY"
 
 
-@dataclass
 class ModelNode:
-    kind: NodeKind
-    types: TypeSet = field(default_factory=TypeSet)
-    children: dict[str, ModelNode] = field(default_factory=dict)
-    element: ModelNode | None = None
+    """A node of a schema. The types are the node's own; the children are handed out as a copy, and changed by set_child."""
+
+    def __init__(self, kind: NodeKind, types: TypeSet | None = None, element: ModelNode | None = None) -> None:
+        self.kind, self.element = kind, element
+        self.types = TypeSet() if types is None else types
+        self._children: dict[str, ModelNode] = {}
+
+    @classmethod
+    def of_object(cls) -> ModelNode:
+        return cls(NodeKind.OBJECT)
+
+    @classmethod
+    def of_leaf(cls, data_type: DataType) -> ModelNode:
+        return cls(NodeKind.LEAF, TypeSet(data_type))
+
+    @classmethod
+    def of_array(cls, element: ModelNode | None = None) -> ModelNode:
+        """An array without an element was never seen with content, and declares no field."""
+        return cls(NodeKind.ARRAY, element=element)
+
+    @property
+    def children(self) -> dict[str, ModelNode]:
+        return dict(self._children)
 
     def set_child(self, name: str, node: ModelNode) -> None:
-        self.children[name] = node
+        self._children[name] = node
 
     def child(self, name: str) -> ModelNode | None:
-        return self.children.get(name)
+        return self._children.get(name)
+
+    def fields(self) -> list[FieldDescriptor]:
+        """As the tree is now; nothing is kept between calls."""
+        return fields_of(self)
 
 
 @dataclass(frozen=True)
@@ -78,7 +100,7 @@ def fields_of(root: ModelNode) -> list[FieldDescriptor]:
         elif node.kind is NodeKind.OBJECT:
             if concrete:
                 out.append(FieldDescriptor(path, concrete, in_array))
-            todo += [(node.children[k], f"{path}.{k}", False) for k in sorted(node.children)]
+            todo += [(child, f"{path}.{k}", False) for k, child in sorted(node.children.items())]
         elif node.element is not None:
             todo.append((node.element, f"{path}[*]", node.element.kind is NodeKind.LEAF))
     return sorted(out, key=lambda f: f.path)

@@ -16,7 +16,7 @@ from fathomark.sources import context as cx
 from fathomark.sources import log, registry, tables, workflow
 from fathomark.sources.entities import EntityView, declared
 from fathomark.sources.store import Entity, ModelRef
-from fathomark.streaming.jobs import numbered
+from fathomark.streaming.jobs import JobStore, numbered
 from fathomark.streaming.schedule import ScheduledTask
 
 M = ModelRef("order", "1")
@@ -307,6 +307,42 @@ def test_search_jobs(engine):
         engine.jobs.job(job)
 
 
+def test_jobs_that_others_execute(engine, spark):
+    own = JobStore(spark, engine.jobs.path + "/plain")
+    assert engine.jobs.self_executing and not own.self_executing
+    at = datetime(2024, 3, 4, tzinfo=timezone.utc)
+    first, second = own.create_job(M, "{}", at=at, options='{"limit":7}'), own.create_job(M, "{}")
+    made = own.job(first)
+    assert (made["status"], made["model_name"], made["options"], made["finish_time"]) == ("RUNNING", M.name, '{"limit":7}', None)
+    assert own.page(first, 0, 5) == ([], 0)
+    own.save_results(first, ["c", "a", "b"])
+    own.save_results(second, spark.createDataFrame([(1, "y"), (0, "x")], "pos long, entity_id string"))
+    own.update_status(first, "SUCCESSFUL", result_count=3, calc_time_ms=12)
+    assert own.page(first, 1, 9) == (["a", "b"], 3) and own.page(second, 0, 9) == (["x", "y"], 2)
+    assert own.job(first)["calc_time_ms"] == 12 and own.job(first)["finish_time"] is not None
+    own.update_status(second, "FAILED", error="no shard")
+    assert own.job(second)["error"] == "no shard" and not own.cancel(second)
+    with cx.acting(cx.UserContext("v", "t2")):
+        for ask in (own.job, own.cancel, own.delete, lambda i: own.page(i, 0, 1), lambda i: own.save_results(i, ["z"]), lambda i: own.update_status(i, "FAILED")):
+            with pytest.raises(errors.NotFoundError):
+                ask(first)
+    own.delete(first)
+    with pytest.raises(errors.NotFoundError):
+        own.job(first)
+    assert own.results.read().select("job_id").distinct().collect() == [(second,)]
+
+
+def test_job_of_a_point_in_time(engine):
+    s = engine.entities
+    s.save(entity("old", n=1))
+    at = s.get("old").timestamp.astimezone(timezone.utc)
+    s.save(entity("new", n=1))
+    every = '{"type":"group","operator":"AND","conditions":[]}'
+    then, now = engine.jobs.create(M, every, at=at), engine.jobs.create(M, every)
+    assert engine.jobs.wait(then)["result_count"] == 1 and engine.jobs.wait(now)["result_count"] == 2
+    assert engine.jobs.page(then, 0, 9) == (["old"], 1)
+
+
 def test_one_view_many_threads(spark):
     view = EntityView(spark.createDataFrame([(str(i), f'{{"n":{i}}}') for i in range(20)], "id string, data string"), declared(n=D.INTEGER))
     out = []

@@ -11,7 +11,7 @@ from fathomark.functions import decimals as dec
 from fathomark.functions.datatypes import DataType as D
 from fathomark.functions.datatypes import TypeSet, collapse_numeric, is_assignable, is_numeric
 from fathomark.functions.decimals import Dec
-from fathomark.functions.schema import fields_map, parse_model
+from fathomark.functions.schema import FieldDescriptor, ModelNode, NodeKind, fields_map, parse_model
 from fathomark.functions.temporal import expand_temporal, parse_natural
 
 
@@ -109,6 +109,20 @@ def test_fields_map():
     assert fields_map(b"") == {}
 
 
+def test_model_nodes():
+    root, rows = ModelNode.of_object(), ModelNode.of_object()
+    root.set_child("rows", ModelNode.of_array(rows))
+    root.set_child("unseen", ModelNode.of_array())
+    assert root.fields() == [] and rows.kind is NodeKind.OBJECT and root.child("unseen").element is None
+    rows.set_child("at", ModelNode.of_leaf(D.YEAR))
+    assert root.fields() == [FieldDescriptor("$.rows[*].at", (D.YEAR,))]
+    handed = root.children
+    handed.pop("rows")
+    assert root.child("rows").element is rows and root.child("none") is None and ModelNode.of_leaf(D.YEAR).children == {}
+    rows.child("at").types.add(D.STRING)
+    assert root.fields()[0].types == (D.STRING, D.YEAR)
+
+
 @pytest.mark.parametrize("bad", ["{", '{"kind":"X"}', '{"kind":"LEAF","types":["NOPE"]}', '{"kind":"OBJECT","children":{"a":null}}', "[]"])
 def test_bad_schema(bad):
     with pytest.raises(ValueError):
