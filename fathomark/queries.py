@@ -19,7 +19,7 @@ from fathomark.plans.conditions import parse_condition, write_condition
 from fathomark.plans.filters import Source
 from fathomark.sources import context
 from fathomark.sources.entities import EntityView, declared, entities
-from fathomark.sources.shared import remove, scratch
+from fathomark.sources.shared import remove, scratch, written
 from fathomark.sources.store import Entity, ModelRef, Transaction
 from fathomark.sources.tables import ChangeLevel, Engine
 from fathomark.streaming import schedule
@@ -436,21 +436,19 @@ _STORED = ModelRef("customer")
 )
 def store_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities saved in one commit; then a transaction with updates, deletions, and changes after a savepoint that it goes back to."""
-    rows = table(spark, sf_dir, "customer").orderBy("c_custkey").select("c_custkey", "c_mktsegment").collect()
-    name = lambda r: str(r.c_custkey).rjust(12, "0")
+    rows = table(spark, sf_dir, "customer").where("c_custkey is not null").select("c_custkey", pad("c_custkey").alias("id"), F.lit("{}").alias("data"), F.col("c_mktsegment").alias("state"))
     with _engine(spark) as made:
         s = made.entities
-        s.save_all([Entity(name(r), _STORED, "{}", r.c_mktsegment) for r in rows])
+        s.save_table(_STORED, rows)
         tx = s.begin()
         with context.with_transaction(tx):
-            s.save_all([Entity(name(r), _STORED, "{}", "kept") for r in rows if r.c_custkey % 3 == 0])
-            s.delete_ids([name(r) for r in rows if r.c_custkey % 5 == 0])
+            s.save_table(_STORED, rows.where("c_custkey % 3 = 0").withColumn("state", F.lit("kept")))
+            s.delete_table(rows.where("c_custkey % 5 = 0"))
             point = s.savepoint(tx.id)
-            s.save_all([Entity(name(r), _STORED, "{}", "undone") for r in rows])
+            s.save_table(_STORED, rows.withColumn("state", F.lit("undone")))
             s.rollback_to(tx.id, point)
         s.commit(tx.id)
-        out = [(r.id, r.version, r.state, r.change_type) for r in s.get_all(_STORED)]
-    return spark.createDataFrame(out, "id string, version long, state string, change_type string")
+        return written(s.current(_STORED).select("id", "version", "state", "change_type"), "stored")
 
 
 @query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, lpad(c_custkey::varchar, 12, '0') AS id FROM customer WHERE c_mktsegment = 'BUILDING'")

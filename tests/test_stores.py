@@ -7,7 +7,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from fathomark import errors
+from fathomark import errors, queries
 from fathomark.functions.datatypes import DataType as D
 from fathomark.operators import aggregate, search, unique
 from fathomark.operators.search import OrderKind, OrderSpec
@@ -488,3 +488,92 @@ def test_scratch_is_cleared(spark):
             inner = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
         assert not os.path.exists(inner) and spark.range(1).write.parquet(kept) is None and os.path.exists(kept.removeprefix("file://"))
     assert not os.path.exists(kept.removeprefix("file://"))
+
+
+def _transaction(spark, s, tables):
+    """What a transaction shows and leaves, its writes made from DataFrames or from lists."""
+    frame = lambda ids, state: spark.createDataFrame([(i, f'{{"n": "{i}"}}', state) for i in ids], "id string, data string, state string")
+    listed = lambda ids, state: s.save_all([entity(i, state, n=i) for i in ids])
+    save = (lambda ids, state: s.save_table(M, frame(ids, state))) if tables else listed
+    delete = (lambda ids: s.delete_table(frame(ids, ""))) if tables else s.delete_ids
+    save("abcde", "old")
+    s.delete_ids(["d", "e"])
+    tx, seen = s.begin(), []
+    look = lambda: seen.append([(r.id, r.version, r.state, r.change_type, r.data) for r in s.get_all(M)])
+    with cx.with_transaction(tx):
+        listed("ap", "listed")
+        save("abxy", "one")
+        look()
+        s.delete_ids(["x", "a"])
+        assert not s.exists("x") and s.get("b").state == "one" and s.get("c").state == "old"
+        look()
+        save("xd", "two")
+        delete("yb")
+        look()
+        listed("yzc", "three")
+        point = s.savepoint(tx.id)
+        save("abcxyz", "undone")
+        delete("ap")
+        look()
+        s.rollback_to(tx.id, point)
+        for gone in ("a", "e", "never"):
+            with pytest.raises(errors.NotFoundError):
+                delete([*"c", gone])
+        look()
+        seen.append(s.count_by_state(M))
+    s.commit(tx.id)
+    look()
+    kept = s.versions().where(F.col("transaction_id") == tx.id).orderBy("id").collect()
+    return seen, [(r.id, r.version, r.state, r.change_type, r.deleted, r.data, r.change_user, r.creation_date == s.submit_time(tx.id).replace(tzinfo=None), r.last_update == r.timestamp) for r in kept]
+
+
+def test_transactions_of_tables(spark, tmp_path):
+    made = []
+    for tables_ in (False, True):
+        e = tables.Engine(spark, f"file://{tmp_path}/{tables_}", clock=Clock())
+        with cx.acting(cx.UserContext("u", "t1")):
+            made.append(_transaction(spark, e.entities, tables_))
+        e.close()
+    assert made[0] == made[1] and len(made[0][1]) > 5
+    assert not any((tmp_path / "True/staged").iterdir())
+
+
+def test_tables_refused(engine, spark):
+    s, keys = engine.entities, [unique.UniqueKey("k", ("$.a",))]
+    for ids, told in ((["a", "a"], "comes twice"), (["a", None], "no id")):
+        with pytest.raises(ValueError, match=told):
+            s.save_table(M, spark.createDataFrame([(i, "{}") for i in ids], "id string, data string"))
+    one = spark.createDataFrame([("1", '{"a":1}'), ("2", '{"a":1.0}')], "id string, data string")
+    with pytest.raises(errors.UniqueViolationError):
+        s.save_table(M, one, keys)
+    assert s.count(M) == 0 and s.save_table(M, one.where("id = '1'"), keys) == 1
+    one_, two = s.begin(), s.begin()
+    for tx in (one_, two):
+        with cx.with_transaction(tx):
+            assert s.save_table(M, one.where("id = '1'")) == 1 and s.delete_all(M) == 1
+    s.commit(one_.id)
+    with pytest.raises(errors.ConflictError):
+        s.commit(two.id)
+
+
+def test_rows_of_a_stored_table_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    """No list that passes the driver, either way, is as long as the table."""
+    spark.range(500).select(F.col("id").alias("c_custkey"), F.lit("BUILDING").alias("c_mktsegment")).write.parquet(f"{tmp_path}/customer.parquet")
+    kind, session = type(spark.range(1)), type(spark)
+    longest, collect, create = [0], kind.collect, session.createDataFrame
+
+    def collected(df):
+        rows = collect(df)
+        longest[0] = max(longest[0], len(rows))
+        return rows
+
+    def created(self, data, *args, **kwargs):
+        longest[0] = max(longest[0], len(data) if isinstance(data, list) else 0)
+        return create(self, data, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "collect", collected)
+    monkeypatch.setattr(session, "createDataFrame", created)
+    got = queries.QUERIES["store_transaction"](spark, str(tmp_path))
+    assert longest[0] < 50
+    monkeypatch.undo()
+    assert got.count() == 400 and {tuple(r) for r in got.groupBy("version", "state", "change_type").count().collect()} == {(1, "BUILDING", "CREATED", 267), (2, "kept", "UPDATED", 133)}
