@@ -216,6 +216,37 @@ def test_templates_of_many_keys_are_bounded(spark):
     assert ("key:evil",) in [r.tokens for r in got]
 
 
+@pytest.mark.parametrize("max_items", [1, 3, 5])
+def test_wide_urls_are_mined_whole(spark, max_items):
+    """As many tokens as FP-growth takes at once or more: always the rules of brute force."""
+    rng, rows = random.Random(8), []
+    for _ in range(500):
+        host, keys = rng.choice(["a.com", "b-c.net"]), [k for k in ("q", "ref", "id", "u", "v", "w") if rng.random() < 0.6]
+        keys += ["ref2"] if "ref" in keys else []
+        p = 0.9 if {"q", "u"} <= set(keys) else 0.75 if host == "b-c.net" and "ref" in keys and "id" not in keys else 0.1
+        rows.append((f"http://{host}/x?{'&'.join(f'{k}=1' for k in keys)}", rng.random() < p))
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    baskets = [(frozenset(r.t), r.bad) for r in df.select(urls.url_tokens(F.col("url")).alias("t"), "bad").collect()]
+    got, want = urls.mine_rules(df, min_support=0.02, min_rows=10, max_items=max_items), _rules_by_brute_force(baskets, 0.02, 0.6, 1.5)
+    assert {frozenset(r.tokens): round(r.confidence, 9) for r in got} == {k: round(c, 9) for k, c in want.items()} and len(want) > 3 and max(map(len, want)) > 3
+
+
+def test_rule_of_the_least_telling_tokens(spark):
+    """Beside 20 more telling tokens, two that are bad only together."""
+    rng, rows = random.Random(4), []
+    for i in range(1000):
+        own = ["a", "b"] if i % 10 == 0 else ["evil"] if i % 10 < 5 else ["a"] if i % 2 else ["b"]
+        rows.append((f"http://h.com/x?{'&'.join(f'{k}=1' for k in [*own, *(f'k{n}' for n in range(20) if rng.random() < 0.99)])}", i % 10 < 5))
+    got = urls.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"))
+    assert {(r.tokens, r.confidence) for r in got} == {(("key:evil",), 1.0), (("key:a", "key:b"), 1.0)}
+
+
+def test_rows_of_a_base(spark):
+    base = spark.createDataFrame([([1], 0, 1, [2, 3], 2500, 999), ([], 1, 2, [4], 0, 1000), ([], 1, 2, [5], 1001, 0)], "prefix array<int>, bar_b long, bar_n long, items array<int>, b long, g long")
+    got = {(tuple(r["items"]), r.bad): r.n for r in urls._one_by_one(base).groupBy("items", "bad").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {((2, 3), True): 2500, ((2, 3), False): 999, ((4,), False): 1000, ((5,), True): 1001}
+
+
 # decontamination
 
 ITEMS = [(0, "w1 w2 w3"), (1, None), (2, ""), (3, "!!"), (4, "nothing that is there at all in any of these texts here"), (0, "w1 w2 w3")]
